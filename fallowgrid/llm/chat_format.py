@@ -69,11 +69,11 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.asarray(turns.offsets.to_numpy(), np.int64)
         first = first - first[0]
         flat = turns.flatten()
-        role, text = flat.field("r"), flat.field("t")
+        role, text, by_assistant = flat.flatten()
         (head, head_off), (body, body_off) = text_bytes(role), text_bytes(text)
         out, starts = _assemble(head, head_off, body, body_off)
         conv_off = np.concatenate([starts[:, 0], starts[-1:, 5] if len(starts) else [0]])[first] if len(starts) else np.zeros(len(first), np.int64)
-        said = np.asarray(flat.field("a").to_numpy(zero_copy_only=False), bool)
+        said = np.asarray(by_assistant.to_numpy(zero_copy_only=False), bool)
         conv = np.repeat(np.arange(batch.num_rows), np.diff(first))
         base = conv_off[:-1]
         loss_off = np.concatenate([[0], np.cumsum(np.bincount(conv[said], minlength=batch.num_rows))])

@@ -186,10 +186,10 @@ def shingles(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     pick = ranges(at[:-1][long], n[long] - k + 1)
     out[ranges(out_off[:-1][long], n[long] - k + 1)] = grams[pick]
     for i in np.flatnonzero((n > 0) & ~long):
-        h = U64(n[i])
+        h = np.array([n[i]], U64)
         for x in words[at[i] : at[i + 1]]:
             h = h * U64(0x9FB21C651E98DF25) + x
-        out[out_off[i]] = mix(np.array([h], U64))[0]
+        out[out_off[i]] = mix(h)[0]
     return out, out_off
 
 
@@ -244,3 +244,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         before = after
     stars = e.groupBy("u").agg(F.min("v").alias("root"))
     return stars.select(F.col("u").alias("id"), "root").union(stars.select(F.col("root").alias("id"), "root").distinct())
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys of a sorted partition, each whole, though it spans batches."""
+    held: list[pa.RecordBatch] = []
+
+    def code(batch: pa.RecordBatch) -> np.ndarray:
+        return np.column_stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys])
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = code(batch)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        if held and (at[0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = at[-1]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -45,40 +45,40 @@ def text_statistics(df: DataFrame, text: str = "text", keep: list[str] | None =
     lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
     df = df.select(
         *keep,
-        _words(t).alias("_w"), lines.alias("_l"),
-        _count(t, "#*$%&|<>").alias("n_symbols"), _count(t, ".").alias("_stop"), _count(t, "!").alias("_bang"),
+        _words(t).alias("__w"), lines.alias("__l"),
+        _count(t, "#*$%&|<>").alias("n_symbols"), _count(t, ".").alias("__stop"), _count(t, "!").alias("__bang"),
     )
-    n = F.size("_w")
+    n = F.size("__w")
     # windows of three words, sorted by hash: equal ones become neighbours
     window = F.transform(
-        F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(n - 1, F.lit(0))).alias("b"), F.slice("_w", 3, F.greatest(n - 2, F.lit(0))).alias("c")),
+        F.arrays_zip(F.col("__w").alias("a"), F.slice("__w", 2, F.greatest(n - 1, F.lit(0))).alias("b"), F.slice("__w", 3, F.greatest(n - 2, F.lit(0))).alias("c")),
         lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("i")),
     )
     df = df.select(
-        *keep, "n_symbols", "_stop", "_bang", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        n.cast("long").alias("n_words"), F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct_words"),
-        F.sort_array(F.slice(window, 1, F.greatest(n - 2, F.lit(0)))).alias("_s"),
+        *keep, "n_symbols", "__stop", "__bang", F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        n.cast("long").alias("n_words"), F.size("__l").cast("long").alias("n_lines"),
+        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        F.size(F.array_distinct("__w")).cast("long").alias("n_distinct_words"),
+        F.sort_array(F.slice(window, 1, F.greatest(n - 2, F.lit(0)))).alias("__s"),
     )
-    m = F.size("_s")
-    near = F.arrays_zip(F.col("_s").alias("x"), F.slice("_s", 2, F.greatest(m - 1, F.lit(0))).alias("y"))
+    m = F.size("__s")
+    near = F.arrays_zip(F.col("__s").alias("x"), F.slice("__s", 2, F.greatest(m - 1, F.lit(0))).alias("y"))
     # in sorted order, a window equal to the next marks itself and the next; positions may come twice
     hit = F.filter(near, lambda p: p["x"]["h"] == p["y"]["h"])
-    df = df.withColumn("_p", F.sort_array(F.array_distinct(F.flatten(F.transform(hit, lambda p: F.array(p["x"]["i"], p["y"]["i"]))))))
+    df = df.withColumn("__p", F.sort_array(F.array_distinct(F.flatten(F.transform(hit, lambda p: F.array(p["x"]["i"], p["y"]["i"]))))))
     covered = F.aggregate(
-        "_p",
+        "__p",
         F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
         lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(3), x - acc["last"])).alias("n")),
         lambda acc: acc["n"].cast("long"),
     )
-    df = df.withColumn("n_repeat_words", F.when(F.size("_p") == 0, F.lit(0).cast("long")).otherwise(covered))
+    df = df.withColumn("n_repeat_words", F.when(F.size("__p") == 0, F.lit(0).cast("long")).otherwise(covered))
     n = F.greatest(F.col("n_words"), F.lit(1))
     ratios = {
         "n_words": F.col("n_words"), "word_length": F.col("word_chars") / n, "symbol_ratio": F.col("n_symbols") / n,
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "repeat_ratio": F.col("n_repeat_words") / n,
-        "stop_ratio": F.col("_stop") / n,
-        "distinct_ratio": F.col("n_distinct_words") / n, "bang_ratio": F.col("_bang") / n, "line_words": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "stop_ratio": F.col("__stop") / n,
+        "distinct_ratio": F.col("n_distinct_words") / n, "bang_ratio": F.col("__bang") / n, "line_words": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
     }
     return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *[x.cast("double").alias(f"f_{k}") for k, x in ratios.items()])
 

@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, warc
+from . import chat_format, decontaminate, jaccard_join, license_scan, pu_classifier, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, warc
 from .common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
@@ -16,18 +25,40 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(talks.unionByName(more)))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.id_digest(sentencepiece_codec.encode(table(spark, sf_dir, "documents")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_bundles(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.decode_bundles(spark, path).select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("templates")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    net = pu_classifier.train(documents, table(spark, sf_dir, "labels"))
+    return pu_classifier.score(documents, net).select("doc_id", pu_classifier.held_out().alias("held_out"), "score", (F.col("score") >= pu_classifier.CUT).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rules = quality_rules.learn(documents, table(spark, sf_dir, "labels"))
     return quality_rules.apply_rules(documents, rules, ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op7_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_chat_formatting, op4_sentencepiece, op5_decontamination, op6_jaccard_join, op7_warc, op8_license_scan, op9_quality_classifier, op10_quality_rules)}
 
 ORACLE = {
     "op3_chat_formatting": r"""
