@@ -1 +1,8 @@
 """A PySpark engine for gridded land evaluation: cells are rows, bands are columns."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their tasks: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
