@@ -72,7 +72,7 @@ def _edges(x: np.ndarray) -> list[np.ndarray]:
     return [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33))) for j in range(x.shape[1])]
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, hidden: int = 24, epochs: int = 60, batch: int = 512, seed: int = 7) -> Network:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, hidden: int = 24, steps: int = 1500, batch: int = 512, seed: int = 7) -> Network:
     """Minimise the non-negative risk by Adam; with `prior` None, first estimate it."""
     if not len(positive) or not len(unlabelled):
         return Network([], np.zeros((0, 1)), np.zeros(1), np.zeros(1), 0.0, 0.0)
@@ -85,6 +85,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     params = [net.w1, net.b1, net.w2, np.zeros(1)]
     first, second, t = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params], 0
     rate = 0.01
+    epochs = -(-steps // -(-len(u) // batch))
     for epoch in range(epochs):
         if epoch == epochs * 2 // 3:
             rate /= 4
@@ -118,13 +119,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, hidden: int, seed: int) -> float:
     """Share of positives among the unlabelled: the least (tail share of U + slack) / (tail share of P) over thresholds."""
     half_p, half_u = positive[::2], unlabelled[::2]
-    first = fit(half_p, half_u, prior=0.5, hidden=hidden, epochs=20, seed=seed)
+    first = fit(half_p, half_u, prior=0.5, hidden=hidden, steps=500, seed=seed)
     sp = np.sort(first.score(positive[1::2])) if len(positive) > 1 else first.score(positive)
     su = np.sort(first.score(unlabelled[1::2])) if len(unlabelled) > 1 else first.score(unlabelled)
     cuts = np.unique(np.quantile(sp, np.linspace(0, 0.95, 200)))
     tail_p = 1 - np.searchsorted(sp, cuts) / len(sp)
     tail_u = 1 - np.searchsorted(su, cuts) / len(su)
-    slack = np.sqrt(1 / len(sp)) + np.sqrt(1 / len(su))
+    slack = (np.sqrt(1 / len(sp)) + np.sqrt(1 / len(su))) / 2
     return float(np.clip(np.min((tail_u + slack * (1 - tail_p)) / np.maximum(tail_p, 1e-9)), 0.02, 0.98))
 
 
