@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import analytics, suitability
+
+_ALL = suitability.QUERIES | analytics.QUERIES
+QUERIES = {name: run for name, (run, _) in _ALL.items()}
+ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}
