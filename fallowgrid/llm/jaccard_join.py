@@ -219,7 +219,8 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, recall:
     members = stored(proposals.join(reps.select("id", "n_copies"), "id"), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    sets = members.join(docs.withColumnRenamed("doc_id", "id"), "id").select("root", "nb", "block", "id", "n_copies", "text").mapInArrow(_gram_sets(words), "root long, nb int, block int, id long, n_copies long, grams binary")
+    # always a merge join: components are not bounded, so they are never broadcast
+    sets = members.hint("merge").join(docs.withColumnRenamed("doc_id", "id"), "id").select("root", "nb", "block", "id", "n_copies", "text").mapInArrow(_gram_sets(words), "root long, nb int, block int, id long, n_copies long, grams binary")
     tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     tasks = tasks.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     tasks = tasks.repartition(4 * partitions(spark), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
