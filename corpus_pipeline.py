@@ -19,7 +19,9 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Quality rules: documents that the base rules or the learned list reject go.  Rules are learned from all labelled documents."""
     rules = quality_rules.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     stats = quality_rules.text_statistics(docs.select(F.struct("*").alias("doc"), "text"), keep=["doc"])
-    return stats.where(~quality_rules.base_failed() & ~rules.rejects()).select("doc.*")
+    # a row number beside the verdict keeps the filter above it: pushed down, it would compute every statistic once for each mention
+    judged = stats.select("doc", (~quality_rules.base_failed() & ~rules.rejects()).alias("kept"), F.monotonically_increasing_id().alias("row"))
+    return judged.where("kept").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
