@@ -70,6 +70,30 @@ def test_chains_are_collinear_and_disjoint():
     assert sorted(i for c in found for i in c) == [0, 1, 2, 3, 4]
 
 
+def test_passages_between_many_edits_are_found(spark):
+    """Copied stretches of a document that differs too often elsewhere for one chain over all of it."""
+    words = prose(330, 77).split(" ")
+    other = [w if 30 <= k < 95 or 180 <= k < 250 or k % 12 > 5 else f"x{k}" for k, w in enumerate(words)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    got = substring_dedup.find_passages(df).collect()
+    covered = {k for r in got for k in range(r.start_word, r.end_word)}
+    assert set(range(30, 95)) | set(range(180, 250)) <= covered and len(covered) < 200
+    assert all(r.identity >= 0.8 for r in got)
+
+
+def test_segments_are_maximal():
+    def best(equal):  # all ranges by brute force: highest score, then the rest on both sides
+        if not equal.any():
+            return []
+        score = {(i, j): np.where(equal[i:j], 1, -4).sum() for i in range(len(equal)) for j in range(i + 1, len(equal) + 1)}
+        i, j = min(score, key=lambda r: (-score[r], r[1] - r[0], r))
+        return [*best(equal[:i]), (i, j), *((i2 + j, j2 + j) for i2, j2 in best(equal[j:]))]
+
+    for seed in range(20):
+        equal = np.random.default_rng(seed).random(40) < 0.85
+        assert substring_dedup.segments(equal, 0.8) == best(equal)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "<|| <||| <|im_start|>é"), (1, 1, "assistant", None), (2, None, None, "x"), (None, 0, "a\nb", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
