@@ -81,6 +81,34 @@ def test_passages_between_many_edits_are_found(spark):
     assert all(r.identity >= 0.8 for r in got)
 
 
+def exact_windows(texts, size=40):
+    """Places of words in windows of `size` words that a smaller document has, by plain loops."""
+    seen, out = {}, {}
+    for i, text in sorted(texts):
+        w = re.findall(r"[0-9a-zé]+", text.lower())
+        for p in range(len(w) - size + 1):
+            if seen.setdefault(tuple(w[p : p + size]), i) != i:
+                out.setdefault(i, set()).update(range(p, p + size))
+    return out
+
+
+def spans_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    return out
+
+
+def test_exact_windows_are_found_whatever_has_their_parts(spark):
+    """Passages whose parts first stand in different documents, also of many rows (op2)."""
+    a, b, c = prose(30, 61), prose(30, 62), prose(25, 63)
+    texts = [(1, a), (2, b), (3, c + " " + prose(40, 64)), (10, a + " " + b), (11, a + " " + b), (12, prose(20, 65) + " " + b + " " + c), (13, b + " " + c + " " + a)]
+    texts += [(20 + k, prose(7 * k, 70 + k) + " " + a + " " + b + " " + c) for k in range(30)]
+    want = exact_windows(texts)
+    got = spans_of(substring_dedup.find_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got[11] == set(range(60)) and all(want[i] <= got.get(i, set()) for i in want)
+
+
 def test_segments_are_maximal():
     def best(equal):  # all ranges by brute force: highest score, then the rest on both sides
         if not equal.any():
