@@ -8,7 +8,8 @@ item, where shorter) occurs in the document within `EDITS` of the window's lengt
    all on diagonals (text place minus item place) within e of each other.  First, places with fewer q-grams
    of any item than the bound go.  2. The q-gram hits that remain are counted by item and overlapping
    diagonal bands (each of 2(e+1) diagonals, a new one every e+1), and by window; regions under the bound
-   go.  3. A banded alignment verifies the rest: it is exact, so the filters only save work.
+   go.  3. A banded alignment verifies the rest, windows at every place of the item: it is exact, so the filters
+   only save work.
 
 The corpus is scanned once, without a shuffle.  Items go to the executors in parts of at most PART_BYTES:
 a benchmark over that is dealt into more parts, each with a scan of its own, so no broadcast grows with it.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import FOLD, IS_WORD, U64, Rolling, blocks, mix, ranges
 
-Q, WINDOW, STRIDE, LEAST = 10, 100, 10, 50
+Q, WINDOW, LEAST = 10, 100, 50
 EDITS = 0.07
 PART_BYTES = 8 << 20
 TABLE_BITS = 22
@@ -179,7 +180,7 @@ def _bands(p, buf, off, places, doc, lo, reps):
             continue
         own, pattern = np.unique(t2[h : h + n]), p.texts[k]
         long = min(len(pattern), WINDOW)
-        starts = np.unique(np.append(np.arange(0, len(pattern) - long + 1, STRIDE), len(pattern) - long))
+        starts = np.arange(len(pattern) - long + 1)
         shared = np.searchsorted(own, starts + long - Q, side="right") - np.searchsorted(own, starts)
         starts = starts[shared >= bound(long)]
         if not len(starts):
@@ -189,10 +190,13 @@ def _bands(p, buf, off, places, doc, lo, reps):
         skew = 2 * width + 2 * e
         a, b = off[doc_k], off[doc_k + 1]
         wide = long + skew + e
-        cols = d0 + starts[:, None] + np.arange(wide)
-        inside = (cols >= a) & (cols < b)
-        rows = np.where(inside, buf[np.clip(cols, 0, len(buf) - 1)].astype(np.int16), -1)
-        best, end = distance(np.stack([pattern[s : s + long] for s in starts]).astype(np.int16), rows, e, skew)
+        found = []
+        for some in np.array_split(starts, -(-len(starts) // 512)):
+            cols = d0 + some[:, None] + np.arange(wide)
+            inside = (cols >= a) & (cols < b)
+            rows = np.where(inside, buf[np.clip(cols, 0, len(buf) - 1)].astype(np.int16), -1)
+            found.append(distance(pattern[some[:, None] + np.arange(long)].astype(np.int16), rows, e, skew))
+        best, end = (np.concatenate(x) for x in zip(*found, strict=True))
         ok = np.flatnonzero(best <= e)
         if len(ok):
             done.add((doc_k, int(k)))

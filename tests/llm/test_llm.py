@@ -178,6 +178,31 @@ def test_decontamination(spark, none):
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def nearest(window, text):
+    """Least edits of `window` against any part of `text`, by a plain table."""
+    row = np.zeros(len(text) + 1, int)
+    cols, own = np.arange(len(text) + 1), np.frombuffer(text.encode(), np.uint8)
+    for i, ch in enumerate(window.encode(), 1):
+        step = np.concatenate([[i], np.minimum(row[:-1] + (own != ch), row[1:] + 1)])
+        row = np.minimum.accumulate(step - cols) + cols
+    return row.min()
+
+
+def test_leaks_equal_windows_at_every_place(spark):
+    """Excerpts that begin off any stride, with up to and over the allowed edits, against all windows (op5)."""
+    item = " ".join(np.random.default_rng(8).choice([v.replace("é", "h") for v in VOCAB], 40))
+    rows = []
+    for k in range(40):
+        r = np.random.default_rng(k)
+        own, at = list(item[(a := 3 + 4 * (k % 20)) : a + 100 + k % 4]), r.choice(100, 3 + k % 7, replace=False)
+        for i in at:
+            own[i] = "z"
+        rows.append((k, f"{'x' * 30} {''.join(own)} {'y' * 30}"))
+    want = {i for i, t in rows if min(nearest(item[a : a + 100], t) for a in range(len(item) - 99)) <= 7}
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == want and 0 < len(want) < 40
+
+
 def test_jaccard_classes(spark, docs, none):
     base = prose(300, 5).split()
     near = [(100 + k, " ".join(base[: 5 * k] + [f"w{k}"] + base[5 * k + 1 :])) for k in range(60)]
