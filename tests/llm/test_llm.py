@@ -109,6 +109,25 @@ def test_exact_windows_are_found_whatever_has_their_parts(spark):
     assert got[11] == set(range(60)) and all(want[i] <= got.get(i, set()) for i in want)
 
 
+def edited_pairs(step, size, n, seed):
+    """Passages of `size` words within own text, and copies with every `step`-th word replaced."""
+    r, rows = np.random.default_rng(seed), []
+    own = lambda k: [f"w{x}" for x in r.integers(0, 10**9, k)]
+    for k in range(n):
+        words = own(size)
+        copy = [f"q{k}x{i}" if i % step == step - 1 else w for i, w in enumerate(words)]
+        rows += [(2 * k, " ".join(own(50) + words + own(50))), (2 * k + 1, " ".join(own(30) + copy + own(30)))]
+    return rows
+
+
+@pytest.mark.parametrize(("step", "size"), [(6, 60), (8, 50), (8, 60)])
+def test_edited_passages_are_found(spark, step, size):
+    """Recall of passages with edits at even distances (op2)."""
+    found = substring_dedup.find_passages(spark.createDataFrame(edited_pairs(step, size, 40, step), "doc_id long, text string"))
+    got = {(r.doc_id, r.first_doc_id) for r in found.collect() if r.end_word - r.start_word >= 0.9 * size}
+    assert len(got & {(2 * k + 1, 2 * k) for k in range(40)}) >= 38
+
+
 def test_segments_are_maximal():
     def best(equal):  # all ranges by brute force: highest score, then the rest on both sides
         if not equal.any():
