@@ -172,12 +172,10 @@ def _bands(p, buf, off, places, doc, lo, reps):
     sizes = np.diff(np.append(heads, len(code)))
     who = (code[heads] // span) % len(p.texts)
     enough = sizes >= need[who]
-    done: set[tuple[int, int]] = set()
+    spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for h, n, k in zip(heads[enough], sizes[enough], who[enough], strict=True):
         c = int(code[h])
         doc_k = c // span // len(p.texts)
-        if (doc_k, int(k)) in done:
-            continue
         own, pattern = np.unique(t2[h : h + n]), p.texts[k]
         long = min(len(pattern), WINDOW)
         starts = np.arange(len(pattern) - long + 1)
@@ -199,16 +197,29 @@ def _bands(p, buf, off, places, doc, lo, reps):
         best, end = (np.concatenate(x) for x in zip(*found, strict=True))
         ok = np.flatnonzero(best <= e)
         if len(ok):
-            done.add((doc_k, int(k)))
             ends = d0 + starts[ok] + end[ok]
-            yield doc_k, int(k), int(max(a, (ends - long - best[ok]).min())), int(min(b, ends.max())), int(best[ok].min())
+            spans.setdefault((doc_k, int(k)), []).extend(zip(np.maximum(a, ends - long - best[ok]).tolist(), np.minimum(b, ends).tolist(), best[ok].tolist(), strict=True))
+    for (doc_k, k), own in spans.items():
+        for span in merged(own):
+            yield doc_k, k, *span
+
+
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, least edits) of overlapping spans together."""
+    out: list[tuple[int, int, int]] = []
+    for a, b, n in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), min(n, out[-1][2]))
+        else:
+            out.append((a, b, n))
+    return out
 
 
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs (doc_id, item_id) with the bytes [start, end) of the document around the windows that match, and the least edits."""
+    """(doc_id, item_id) with the bytes [start, end) of the document around windows that match, overlapping ones together, and the least edits."""
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // PART_BYTES + 1

@@ -222,6 +222,18 @@ def test_leaks_equal_windows_at_every_place(spark):
     assert {r.doc_id for r in found.collect()} == want and 0 < len(want) < 40
 
 
+def test_every_excerpt_of_an_item_is_reported(spark):
+    """An item twice in a document, and two excerpts of it on different diagonals; a window may hang over by its 7 edits, thrice counted (op5)."""
+    item, gap = prose(60, 78), prose(40, 79)
+    rows = [(1, f"{item} {gap} {item}"), (2, f"{gap} {item[200:]} {gap} {item[:150]}"), (3, f"{item} {gap}")]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    size = lambda t: len(t.encode())
+    want = {1: [(0, size(item)), (size(f"{item} {gap} "), size(rows[0][1]))], 2: [(size(gap) + 1, size(f"{gap} {item[200:]}")), (size(f"{gap} {item[200:]} {gap} "), size(rows[1][1]))], 3: [(0, size(item))]}
+    for i, spans in want.items():
+        own = sorted((r.start, r.end) for r in got if r.doc_id == i)
+        assert len(own) == len(spans) and all(abs(a - c) <= 21 and abs(b - d) <= 21 for (a, b), (c, d) in zip(own, spans, strict=True))
+
+
 def test_jaccard_classes(spark, docs, none):
     base = prose(300, 5).split()
     near = [(100 + k, " ".join(base[: 5 * k] + [f"w{k}"] + base[5 * k + 1 :])) for k in range(60)]
