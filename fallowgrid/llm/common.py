@@ -102,23 +102,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: U64, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    if n:
+    """The first n powers; those for blocks of the usual size are kept by a worker."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        out = np.full(max(n, 1 << 16), base, U64)
         out[0] = U64(1)
-    return np.multiply.accumulate(out)
+        known = np.multiply.accumulate(out)
+        if n <= 1 << 22:
+            _POWERS[int(base)] = known
+    return known[:n]
 
 
 class Rolling:
-    """Polynomial fingerprints of any substring of a block, modulo 2^64."""
+    """Polynomial fingerprints of any substring of a block of bytes (or of character codes), modulo 2^64."""
 
     def __init__(self, buf: np.ndarray, code: np.ndarray = BYTE_CODE, base: U64 = BASE):
         with np.errstate(over="ignore"):
             n = len(buf)
-            inverse = U64(pow(int(base), -1, 2**64))
-            self.back = _powers(inverse, n + 1)
+            self.back = _powers(U64(pow(int(base), -1, 2**64)), n + 1)
             self.sums = np.zeros(n + 1, U64)
-            np.cumsum(code[buf] * _powers(base, n), out=self.sums[1:])
+            np.cumsum((code[buf] if buf.dtype == np.uint8 else mix(buf.astype(U64) + code[1])) * _powers(base, n), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]

@@ -182,8 +182,27 @@ def test_unigram_viterbi_is_optimal():
         return table[len(w)]
 
     words = ["▁abab", "▁baab", "aabba", "abcab"]
-    for w, ids in zip(words, model.segment(words), strict=True):
-        assert sum(scores[i] if i else -14.1 for i in ids) == pytest.approx(best(w))
+    chars = np.array([ord(c) for w in words for c in w], np.uint32)
+    ids, n = model.segment(chars, np.cumsum([len(w) for w in words]))
+    for w, own in zip(words, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert sum(scores[i] if i else -14.1 for i in own) == pytest.approx(best(w))
+
+
+def test_long_and_colliding_segments_equal_library(monkeypatch):
+    """Windows over long segments, runs of equals, and two segments of one polynomial hash (op4)."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Model.parse(open(sentencepiece_codec.MODEL, "rb").read()))
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    r = np.random.default_rng(3)
+    texts = ["a" * 3000, " " * 700, thue + " " + thue.translate(str.maketrans("ab", "ba")), *("".join(r.choice(list(a), n)) for a in ("abcdefghij", "the ofan", "aé漢字ཨ😀▁ ") for n in (1, 40, 257, 900, 2500))]
+    data = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(b) for b in data])])
+    for size in (1 << 18, 100):
+        monkeypatch.setattr(sentencepiece_codec, "SLICE", size)
+        ids, at = codec.encode(np.frombuffer(b"".join(data), np.uint8), off)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == lib.encode(texts, num_threads=1)
 
 
 def test_decontamination(spark, none):
