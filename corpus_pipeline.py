@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read
 again as the next one's docs.  All but the last return the columns of documents.
+
+Defined cases, in all stages: rows without an id, and rows that share one, are judged each by its own text; of
+equal rows the quality stage keeps or drops all, the Jaccard join keeps one.  Null and empty texts fall to the quality rules
+(under 50 words); where they reach a later stage they pass it unchanged, and encode to no ids.  Empty tables give
+empty results with the same columns; without labels only the base rules hold, without benchmark items nothing
+leaks.  Columns beside doc_id and text are carried along, whatever they are named.
 """
 
 from __future__ import annotations
@@ -19,15 +25,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Quality rules: documents that the base rules or the learned list reject go.  Rules are learned from all labelled documents."""
     rules = quality_rules.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     stats = quality_rules.text_statistics(docs.select(F.struct("*").alias("doc"), "text"), keep=["doc"])
-    # a row number beside the verdict keeps the filter above it: pushed down, it would compute every statistic once for each mention
+    # the filter asks for a row number, too, which keeps it above the statistics: pushed down, it would compute each of them once for every mention
     judged = stats.select("doc", (~quality_rules.base_failed() & ~rules.rejects()).alias("kept"), F.monotonically_increasing_id().alias("row"))
-    return judged.where("kept").select("doc.*")
+    return judged.where("kept AND row >= 0").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays."""
-    gone = jaccard_join.jaccard_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays; of equal rows one stays."""
+    return jaccard_join.keep_one(docs).select(docs.columns)
 
 
 def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +43,10 @@ def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark passage go."""
-    leaks = stored(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Benchmark decontamination: documents that hold a benchmark passage go, each row judged by its own text, whatever its id."""
+    key = F.xxhash64("doc_id", "text")
+    leaks = stored(decontaminate.find_leaks(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct(), "leaks")
+    return docs.withColumn("__key", key).join(leaks, "__key", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

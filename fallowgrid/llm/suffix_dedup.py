@@ -19,8 +19,9 @@ unmatched suffix stays open, and on the last level the tokens at boundaries are
 Tokens are 64-bit polynomial fingerprints; level 1 and 2 matches also need equal leading tokens (128 bits).
 
 Defined cases: null text is empty; texts under LENGTH bytes keep all bytes; rows are told apart by
-(doc_id, text), so null and repeated ids are fine and equal rows repeat each other; an empty table gives
-an empty result; other columns are ignored.
+doc_id and a 64-bit hash of the text (128 bits without an id), so null and repeated ids are fine and equal rows
+repeat each other; a text over SLICE bytes is searched in slices that overlap; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int):
             yield batch, buf, off, 0
 
 
-L1 = "t0 long, t1 long, d long, th int, anchor int, lo int, hi int"
+L1 = "t0 long, t1 long, d long, th long, anchor int, lo int, hi int"
 
 
 def _level1(length: int, gram: int):
@@ -93,7 +94,7 @@ def _level1(length: int, gram: int):
     return run
 
 
-L2 = "t0 long, t1 long, d long, th int, lo int, hi int, tokens binary"
+L2 = "t0 long, t1 long, d long, th long, lo int, hi int, tokens binary"
 
 
 def _level2(length: int):
@@ -124,7 +125,7 @@ def _level2(length: int):
             t0 = mix(mix(core + b.astype(U64)) + g)
             t1 = mix(whole + ((c - lo).astype(U64) << U64(40)) + ((hi - lo).astype(U64) << U64(20)) + mix(t0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t0.view(np.int64)), pa.array(t1.view(np.int64)), pa.array([x[6] for x in out], pa.int64()), pa.array([x[7] for x in out], pa.int32()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array([x[8] for x in out], pa.binary())],
+                [pa.array(t0.view(np.int64)), pa.array(t1.view(np.int64)), pa.array([x[6] for x in out], pa.int64()), pa.array([x[7] for x in out], pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array([x[8] for x in out], pa.binary())],
                 names=["t0", "t1", "d", "th", "lo", "hi", "tokens"],
             )
 
@@ -204,7 +205,7 @@ def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = np.unique(t[order][[0, -1]])
     n = len(ends)
     none = lambda k: pa.nulls(n, k)
-    yield pa.RecordBatch.from_arrays([pa.array(ends), none(pa.int64()), none(pa.int32()), none(pa.int32()), pa.array(np.full(n, 2, np.int8)), pa.array(np.full(n, part))], names=["t0", "d", "th", "lo", "state", "part"])
+    yield pa.RecordBatch.from_arrays([pa.array(ends), none(pa.int64()), none(pa.int64()), none(pa.int32()), pa.array(np.full(n, 2, np.int8)), pa.array(np.full(n, part))], names=["t0", "d", "th", "lo", "state", "part"])
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,17 +226,17 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = ANCHO
     n = 2 * partitions(spark)
     keyed = _keyed(documents).where(F.octet_length("text") >= length)
     first = stored(keyed.select("d", "th", "text").mapInArrow(_level1(length, gram), L1), "suffixes")
-    judged = first.repartitionByRange(n, "t0", "t1", "d", "lo").mapInArrow(_judge(["t0", "d", "th", "anchor", "lo", "hi"]), "t0 long, d long, th int, anchor int, lo int, hi int, state byte")
+    judged = first.repartitionByRange(n, "t0", "t1", "d", "lo").mapInArrow(_judge(["t0", "d", "th", "anchor", "lo", "hi"]), "t0 long, d long, th long, anchor int, lo int, hi int, state byte")
     judged = stored(judged, "judged")
     drop_stored(first)
     done = judged.where("state = 1").select("d", "th", "lo", (F.col("hi") + length).alias("hi"))
     # open anchors of a document: at most one per start, so a list is bounded by its document
     spots = judged.where("state = 0").groupBy("d", "th").agg(F.collect_list(F.struct("anchor", "lo", "hi", "t0")).alias("spots"))
     chunks = _packed(keyed).join(spots, ["d", "th"]).select("d", "th", "packed", "spots").mapInArrow(_level2(length), L2)
-    second = stored(chunks.repartitionByRange(n, "t0", "t1", "d", "lo").mapInArrow(_judge(["d", "th", "lo", "hi", "tokens"]), "d long, th int, lo int, hi int, tokens binary, state byte"), "chunks")
+    second = stored(chunks.repartitionByRange(n, "t0", "t1", "d", "lo").mapInArrow(_judge(["d", "th", "lo", "hi", "tokens"]), "d long, th long, lo int, hi int, tokens binary, state byte"), "chunks")
     done = done.union(second.where("state = 1").select("d", "th", "lo", (F.col("hi") + length).alias("hi")))
-    starts = second.where("state = 0").select("d", "th", "lo", "tokens").mapInArrow(_explode, "t0 long, d long, th int, lo int")
-    third = stored(starts.repartitionByRange(n, "t0", "d", "th", "lo").mapInArrow(_last, "t0 long, d long, th int, lo int, state byte, part int"), "starts")
+    starts = second.where("state = 0").select("d", "th", "lo", "tokens").mapInArrow(_explode, "t0 long, d long, th long, lo int")
+    third = stored(starts.repartitionByRange(n, "t0", "d", "th", "lo").mapInArrow(_last, "t0 long, d long, th long, lo int, state byte, part int"), "starts")
     across = third.where("state = 2").groupBy("t0").agg(F.countDistinct("part").alias("parts")).where("parts > 1").select("t0")
     matched = third.where("state = 1").union(third.where("state = 0").join(across, "t0", "left_semi").select(third.columns))
     done = done.union(matched.select("d", "th", "lo", (F.col("lo") + length).alias("hi")))
@@ -243,8 +244,9 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = ANCHO
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
+    """Rows with the key (d, th) of their id and text: two hashes of the text where the id is null."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("d"), F.hash(text).alias("th"))
+    return documents.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("d"), F.xxhash64(F.lit("th"), text).alias("th"))
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
@@ -255,7 +257,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack.compress(t.as_buffer()) for t in batch.column(3)], pa.binary())], names=["doc_id", "d", "th", "packed"])
 
-    return keyed.select("doc_id", "d", "th", "text").mapInArrow(run, "doc_id long, d long, th int, packed binary")
+    return keyed.select("doc_id", "d", "th", "text").mapInArrow(run, "doc_id long, d long, th long, packed binary")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
