@@ -8,15 +8,21 @@ item, where shorter) occurs in the document within `EDITS` of the window's lengt
    all on diagonals (text place minus item place) within e of each other.  First, places with fewer q-grams
    of any item than the bound go.  2. The q-gram hits that remain are counted by item and overlapping
    diagonal bands (each of 2(e+1) diagonals, a new one every e+1), and by window; regions under the bound
-   go.  3. A banded alignment verifies the rest, windows at every place of the item: it is exact, so the filters
+   go.  The lemma holds for every q: within a region it is applied again with 3-grams, which tell
+   a window that hangs over the end of an excerpt.  3. Windows with at most one other byte on some diagonal are decided; a banded
+   alignment verifies the rest, windows at every place of the item: it is exact, so the filters
    only save work.
 
+Items under LEAST folded bytes count only where they stand whole, with no edit, between word borders, and have
+at least SHORT_WORDS words (less can't tell a leak from ordinary speech: such items match nothing).
+
 The corpus is scanned once, without a shuffle.  Items go to the executors in parts of at most PART_BYTES:
-a benchmark over that is dealt into more parts, each with a scan of its own, so no broadcast grows with it.
+a benchmark over that is dealt into more parts, each with a scan of its own whose result is stored before the
+next part is read, so neither the broadcast nor the driver's memory grows with it.
 
-Defined cases: null or empty texts and items match nothing; items with fewer than LEAST folded bytes are
-skipped (too short to tell); repeated rows are judged alike; equal items are all reported; empty tables
-give empty results; other columns are ignored.
+Defined cases: null or empty texts and items match nothing, nor do items without an id; documents without an id
+are reported with a null one; repeated rows are judged alike; equal items are all reported; empty tables
+give empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, IS_WORD, U64, Rolling, blocks, mix, ranges
+from .common import FOLD, IS_WORD, U64, Rolling, blocks, mix, ranges, stored
 
-Q, WINDOW, LEAST = 10, 100, 50
+Q, WINDOW, LEAST, SHORT_WORDS = 10, 100, 50, 5
+FINE = 3
+HITS = 2_000_000
 EDITS = 0.07
 PART_BYTES = 8 << 20
 TABLE_BITS = 22
@@ -59,7 +67,7 @@ class Patterns:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             if len(raw):
                 folded = fold(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-                if len(folded) >= LEAST:
+                if len(folded) >= (LEAST if folded.count(b" ") < SHORT_WORDS - 1 else Q):
                     self.ids.append(i)
                     self.texts.append(np.frombuffer(folded, np.uint8))
         grams, item, place = [], [], []
@@ -80,7 +88,7 @@ class Patterns:
 
 
 def edits(length: int) -> int:
-    return int(EDITS * length)
+    return int(EDITS * length) if length >= LEAST else 0
 
 
 def bound(length: int) -> int:
@@ -92,22 +100,25 @@ def distance(patterns: np.ndarray, texts: np.ndarray, most: int, skew: int) -> t
     """Least edits of each row of `patterns` against any part of its row of `texts`, and where that part ends.
 
     Only cells with -most <= column - row <= skew + most count: the pattern starts within `skew` of the text's
-    start.  Distances over `most` may come out larger.
+    start.  Distances over `most` may come out larger.  A row of the table holds just these cells, by diagonal.
     """
     k, n = patterns.shape
-    m = texts.shape[1]
-    big = n + m
-    cols = np.arange(m + 1)
-    d = np.where(cols <= skew + most, 0, big)[None, :].repeat(k, 0)
+    wide = skew + 2 * most + 1
+    big = np.int16(1 << 13)
+    side = np.arange(wide, dtype=np.int16)
+    padded = np.full((k, most + max(texts.shape[1], n + skew + most)), -2, np.int16)
+    padded[:, most : most + texts.shape[1]] = texts
+    d = np.where(side < most, big, np.int16(0))[None, :].repeat(k, 0)
     for i in range(1, n + 1):
-        step = np.empty_like(d)
-        step[:, 0] = i
-        step[:, 1:] = np.minimum(d[:, :-1] + (texts != patterns[:, i - 1 : i]), d[:, 1:] + 1)
-        step[:, (cols - i < -most) | (cols - i > skew + most)] = big
-        d = np.minimum.accumulate(step - cols, axis=1) + cols
-        d[:, (cols - i < -most) | (cols - i > skew + most)] = big
+        step = d + (padded[:, i - 1 : i - 1 + wide] != patterns[:, i - 1 : i])
+        np.minimum(step[:, :-1], d[:, 1:] + np.int16(1), out=step[:, :-1])
+        if i < most:
+            step[:, : most - i] = big
+        step -= side
+        d = np.minimum.accumulate(step, axis=1)
+        d += side
     end = np.argmin(d, axis=1)
-    return d[np.arange(k), end], end
+    return d[np.arange(k), end].astype(np.int64), n + end - most
 
 
 def _matches(p: Patterns, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -144,19 +155,33 @@ def _matches(p: Patterns, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[in
     upto = np.concatenate([[0], np.cumsum(reps)])
     last = 0
     while last < len(places):
-        end = max(last + 1, int(np.searchsorted(upto, upto[last] + 2_000_000, side="right")) - 1)
+        end = max(last + 1, int(np.searchsorted(upto, upto[last] + HITS, side="right")) - 1)
         while end < len(places) and doc[end] == doc[end - 1]:  # whole texts
             end += 1
-        yield from _bands(p, buf, off, places[last:end], doc[last:end], lo[last:end], reps[last:end])
+        # a text with more hits is worked on by groups of items
+        groups = int((upto[end] - upto[last]) // (2 * HITS)) + 1
+        for group in range(groups):
+            yield from _bands(p, buf, off, *_hits(p, places[last:end], doc[last:end], lo[last:end], reps[last:end], group, groups))
         last = end
 
 
-def _bands(p, buf, off, places, doc, lo, reps):
-    row = ranges(lo, reps)
-    text = np.repeat(doc, reps).astype(np.int64)
-    item, t = p.item[row].astype(np.int64), p.place[row].astype(np.int64)
-    diagonal = np.repeat(places, reps) - t
-    length = np.array([len(x) for x in p.texts], np.int64)[item]
+def _hits(p: Patterns, places: np.ndarray, doc: np.ndarray, lo: np.ndarray, reps: np.ndarray, group: int, groups: int) -> tuple[np.ndarray, ...]:
+    """(text, item, place in the item, diagonal) of every pair of equal q-grams, of one group of items."""
+    upto = np.concatenate([[0], np.cumsum(reps)])
+    found, at = [], 0
+    while at < len(places):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + HITS, side="right")) - 1)
+        row = ranges(lo[at:end], reps[at:end])
+        text, place = (np.repeat(x[at:end], reps[at:end]).astype(np.int64) for x in (doc, places))
+        if groups > 1:
+            some = p.item[row] % groups == group
+            row, text, place = row[some], text[some], place[some]
+        found.append((text, p.item[row].astype(np.int64), p.place[row].astype(np.int64), place - p.place[row]))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _bands(p, buf, off, text, item, t, diagonal):
     width = edits(WINDOW) + 1
     band = diagonal // width
     base = int(band.min(initial=0)) - 1
@@ -164,16 +189,37 @@ def _bands(p, buf, off, places, doc, lo, reps):
     need = np.array([bound(min(len(x), WINDOW)) for x in p.texts], np.int64)
     code = (text * len(p.texts) + item) * span + (band - base)
     code = np.concatenate([code, code - 1])  # each hit is in two bands, which overlap
-    t2, g2 = np.concatenate([t, t]), np.concatenate([diagonal, diagonal])
-    length = np.concatenate([length, length])
+    t2 = np.concatenate([t, t])
     order = np.lexsort((t2, code))
-    code, t2, g2, length = code[order], t2[order], g2[order], length[order]
+    code, t2 = code[order], t2[order]
     heads = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
     sizes = np.diff(np.append(heads, len(code)))
-    who = (code[heads] // span) % len(p.texts)
+    who = (code[heads] // span) % max(len(p.texts), 1)
     enough = sizes >= need[who]
     spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for h, n, k in zip(heads[enough], sizes[enough], who[enough], strict=True):
+    waiting: dict[int, list[tuple]] = {}  # windows for the alignment, by their length
+
+    def keep(doc_k: int, k: int, long: int, ends: np.ndarray, best: np.ndarray) -> None:
+        a, b = off[doc_k], off[doc_k + 1]
+        if len(p.texts[k]) < LEAST:  # whole words only; a text that isn't empty ends in a blank
+            whole = (ends - long == a) | (buf[ends - long - 1] == 32)
+            whole &= (ends == b) | (buf[np.minimum(ends, b - 1)] == 32)
+            ends, best = ends[whole], best[whole]
+        spans.setdefault((doc_k, k), []).extend(zip(np.maximum(a, ends - long - best).tolist(), np.minimum(b, ends).tolist(), best.tolist(), strict=True))
+
+    def settle(long: int) -> None:
+        own = waiting.pop(long)
+        e = edits(long)
+        best, end = distance(np.concatenate([x[4] for x in own]), np.concatenate([x[5] for x in own]), e, 2 * width + 2 * e)
+        at = 0
+        for doc_k, k, d0, starts, rows, _ in own:
+            n, to = best[at : at + len(rows)], end[at : at + len(rows)]
+            ok = np.flatnonzero(n <= e)
+            if len(ok):
+                keep(doc_k, k, long, d0 + starts[ok] + to[ok], n[ok])
+            at += len(rows)
+
+    for h, n, k in zip(heads[enough].tolist(), sizes[enough].tolist(), who[enough].tolist(), strict=True):
         c = int(code[h])
         doc_k = c // span // len(p.texts)
         own, pattern = np.unique(t2[h : h + n]), p.texts[k]
@@ -186,19 +232,39 @@ def _bands(p, buf, off, places, doc, lo, reps):
         e = edits(long)
         d0 = (c % span + base) * width - e
         skew = 2 * width + 2 * e
-        a, b = off[doc_k], off[doc_k + 1]
-        wide = long + skew + e
-        found = []
-        for some in np.array_split(starts, -(-len(starts) // 512)):
-            cols = d0 + some[:, None] + np.arange(wide)
-            inside = (cols >= a) & (cols < b)
-            rows = np.where(inside, buf[np.clip(cols, 0, len(buf) - 1)].astype(np.int16), -1)
-            found.append(distance(pattern[some[:, None] + np.arange(long)].astype(np.int16), rows, e, skew))
-        best, end = (np.concatenate(x) for x in zip(*found, strict=True))
-        ok = np.flatnonzero(best <= e)
-        if len(ok):
-            ends = d0 + starts[ok] + end[ok]
-            spans.setdefault((doc_k, int(k)), []).extend(zip(np.maximum(a, ends - long - best[ok]).tolist(), np.minimum(b, ends).tolist(), best[ok].tolist(), strict=True))
+        a, b = int(off[doc_k]), int(off[doc_k + 1])
+        first, last = int(starts[0]), int(starts[-1]) + long
+        # the text around, from the lowest diagonal at the first window's start
+        low, high = d0 - e + first, d0 + last + skew + e
+        around = np.full(high - low, -1, np.int16)
+        lo, hi = max(a, low), min(b, high)
+        if lo >= hi:
+            continue
+        around[lo - low : hi - low] = buf[lo:hi]
+        diagonals = skew + 2 * e + 1
+        equal = np.lib.stride_tricks.sliding_window_view(around, diagonals)[: last - first] == pattern[first:last, None]
+        fine = np.logical_and.reduce([equal[i : len(equal) - FINE + 1 + i] for i in range(FINE)]).any(axis=1)
+        seen = np.concatenate([[0], np.cumsum(fine)])
+        rel = starts - first
+        starts = starts[seen[rel + long - FINE + 1] - seen[rel] >= long - FINE + 1 - FINE * e]
+        if not len(starts):
+            continue
+        rel = starts - first
+        unlike = np.concatenate([np.zeros((1, diagonals), np.int32), np.cumsum(~equal, axis=0, dtype=np.int32)])
+        unlike = unlike[rel + long] - unlike[rel]
+        side = np.argmin(unlike, axis=1)
+        least = unlike[np.arange(len(side)), side]
+        clear = least <= min(e, 1)
+        if clear.any():
+            keep(doc_k, k, long, d0 - e + starts[clear] + side[clear] + long, least[clear])
+        starts = starts[~clear] if e else starts[:0]
+        for some in np.array_split(starts, -(-len(starts) // 512)) if len(starts) else []:
+            rows = np.lib.stride_tricks.sliding_window_view(around, long + skew + e)[some - first + e]
+            waiting.setdefault(long, []).append((doc_k, k, d0, some, pattern[some[:, None] + np.arange(long)].astype(np.int16), rows))
+            if sum(len(x[3]) for x in waiting[long]) >= 1024:
+                settle(long)
+    for long in list(waiting):
+        settle(long)
     for (doc_k, k), own in spans.items():
         for span in merged(own):
             yield doc_k, k, *span
@@ -240,5 +306,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.int32(),), strict=True)], names=["doc_id", "item_id", "start", "end", "edits"])
 
         found = docs.mapInArrow(run, SCHEMA)
+        if parts > 1:
+            found = stored(found, "leaks")
+            data.unpersist()
         out = found if out is None else out.union(found)
     return out

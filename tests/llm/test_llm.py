@@ -47,6 +47,25 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_of_rows_without_ids_and_of_long_texts(spark, monkeypatch):
+    """Many rows share the null id or one id; texts over SLICE bytes (op1)."""
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1500)
+    own = [prose(70 + k, 300 + k) for k in range(30)]
+    texts = [*own, *(prose(400, 350) + " " + x for x in own[:3]), prose(2000, 351), prose(2000, 351)[3000:9000], None, ""]
+    rows = [(None if k % 3 else 7, t) for k, t in enumerate(texts)]
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(b[p : p + 400] for b in data for p in range(len(b) - 399))
+    want = Counter()
+    for (i, _), b in zip(rows, data, strict=True):
+        gone = bytearray(len(b))
+        for p in range(len(b) - 399):
+            if seen[b[p : p + 400]] > 1:
+                gone[p : p + 400] = b"\1" * 400
+        want[i, len(b), sum(gone), bytes(x for x, g in zip(b, gone, strict=True) if not g)] += 1
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect()) == want
+
+
 def test_multikey_order():
     keys = [rng.integers(0, 4, 500), rng.integers(0, 3, 500), rng.integers(0, 9, 500)]
     order = suffix_dedup.multikey_order(keys)
@@ -216,6 +235,21 @@ def test_decontamination(spark, none):
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_short_items_and_hot_grams(spark, monkeypatch):
+    """Items under 50 bytes count whole, unedited and between words only; a text with many hits is worked on by groups of items (op5)."""
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    short = "one two three four five six"
+    long = [prose(40, 600)[:30] + " " + prose(30, 600 + k % 2) for k in range(6)]
+    rows = [(1, f"Say: {short.upper()}, yes"), (2, short), (3, "b" + short), (4, short[:-1] + "y"), (5, short + "x"), (6, f"{long[0]} {long[1]} {prose(20, 9)}"), (None, f"{prose(20, 10)} {long[0]}"), (6, long[1])]
+    bench = [(10, short), (11, "one two three"), *((20 + k, t) for k, t in enumerate(long))]
+    docs = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, item_id int, edits string")
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect())
+    want = Counter({(1, 10): 1, (2, 10): 1})
+    for i, k in ((6, 0), (6, 1), (None, 0), (6, 1)):
+        want.update({(i, 20 + k + 2 * j): 1 for j in range(3)})
+    assert set(got) == set(want) and all(got[x] >= want[x] for x in want)
+
+
 def nearest(window, text):
     """Least edits of `window` against any part of `text`, by a plain table."""
     row = np.zeros(len(text) + 1, int)
