@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a fresh one where unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a fresh one where unset on a single machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fallowgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -221,11 +223,12 @@ def list_array(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Arr
 # --- connected components --------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
     """(id, root): the smallest id of the component of every id in `edges`, by alternating large and small stars.
 
     Each round is one aggregation with map-side combining, and joins that adaptive execution can split;
-    the edges stay in the shared folder between rounds.
+    the edges stay in the shared folder between rounds.  Rounds go on until nothing changes (about the square of
+    the logarithm of the largest component); over `rounds` of them are an error.
     """
     e = stored(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct(), "edges")
 
@@ -249,6 +252,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("root"))
     return stars.select(F.col("u").alias("id"), "root").union(stars.select(F.col("root").alias("id"), "root").distinct())
 

@@ -7,18 +7,21 @@ brute-forced, large ones split further by the next pick, up to DEPTH picks.  Two
 in a run with probability at least s^DEPTH, so all runs miss a pair with (1 - s^DEPTH)^RUNS at most; RUNS is
 the least number of runs that reaches the target recall at the threshold.
 
-Buckets only propose: within small ones, pairs of like sketches are linked; the last large ones are linked
+Buckets only propose: within small ones, pairs of like sketches are linked (sketches hold a byte of each pick; at
+the threshold fewer than NEAR of them are equal with a probability of about 1e-7, on top of the stated recall); the last large ones are linked
 to their smallest member.  Connected proposals form candidate components, and these are joined exactly, in
 square blocks of at most about BLOCK sets a side, so a component with a third of all rows is many tasks.
 Blocks count links and keep a spanning forest; pairs are never emitted.
 
 Result, one row per document: doc_id, class_id (smallest id of the documents that are connected by links),
 n_links (other documents of similarity >= threshold, equal copies included), n_copies (documents with the
-same grams, itself included) and n_grams.
+same grams, itself included) and n_grams.  `keep_one` keeps one document of each class.
 
 Defined cases: null, empty or wordless texts have no grams, link to nothing and are classes of their own;
-texts of 1 to 4 words have one gram, all their words; repeated rows are copies; ties can't matter; an empty
-table gives an empty result; other columns are ignored.
+texts of 1 to 4 words have one gram, all their words; repeated rows are copies; rows are told apart by id and a
+64-bit hash of the text, so rows with one id or without one are judged each by its own text; a class_id is null
+only where no row of the class has an id; ties can't matter; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, components, grouped, mix, partitions, shingles, stored, word_hashes
+from .common import U64, blocks, components, drop_stored, grouped, mix, partitions, shingles, stored, word_hashes
 
 THRESHOLD, RECALL, DEPTH, LEAF, BLOCK, WORDS = 0.8, 0.9999, 4, 48, 256, 5
 NEAR = 0.55
@@ -62,7 +65,7 @@ def _sketch(count: int, words: int):
             if len(some):
                 a[some], b[some] = np.add.reduceat(grams, g[some]), np.add.reduceat(mix(grams + U64(77)), g[some])
             picks = _picks(grams, g, count)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.diff(g)), pa.array([r.tobytes() for r in picks], pa.binary())], names=["doc_id", "sa", "sb", "n_grams", "picks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.diff(g)), pa.array([r.tobytes() for r in picks], pa.binary())], names=["doc_id", "th", "sa", "sb", "n_grams", "picks"])
 
     return run
 
@@ -128,10 +131,12 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(reps: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair of sets that meet in some bucket with like sketches."""
     level = stored(reps.select("id", "picks").mapInArrow(_first(runs, depth), "path long, run int, id long"), "paths")
-    edges = None
+    edges, used = None, [level]
     for d in range(1, depth + 1):
-        counts = level.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-        shared = stored(level.join(counts, "path"), "shared")
+        # stored, so that the join deals both sides anew and adaptive execution can split a path that many sets share
+        counts = stored(level.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "counts")
+        shared = stored(level.join(counts.hint("merge"), "path"), "shared")
+        used += [counts, shared]
         small = shared.where(F.col("n") <= leaf).join(reps.select("id", "sketch"), "id").groupBy("path").agg(F.collect_list(F.struct("id", "sketch")).alias("m"))
         found = small.select("m").mapInArrow(_leaves, "a long, b long").distinct()
         large = shared.where(F.col("n") > leaf)
@@ -141,6 +146,10 @@ def _candidates(reps: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
         if d == depth or large.isEmpty():
             break
         level = stored(large.select("path", "run", "id").join(reps.select("id", "picks"), "id").select("path", "run", "id", "picks").mapInArrow(_next(runs, depth, d), "path long, run int, id long"), "paths")
+        used.append(level)
+    edges = stored(edges, "proposals")
+    for x in used:
+        drop_stored(x)
     return edges
 
 
@@ -185,8 +194,8 @@ def _join(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["root", "bi", "bj"]):
             ids, block, copies = (group.column(c).to_numpy() for c in ("id", "block", "n_copies"))
-            order = np.argsort(ids, kind="stable")
-            ids, block, copies = ids[order], block[order], copies[order]
+            ids, order = np.unique(ids, return_index=True)  # a text may come from several equal rows
+            block, copies = block[order], copies[order]
             data = group.column("grams").to_pylist()
             sets = [np.frombuffer(data[i], U64) for i in order]
             bi, bj, nb = (group.column(c)[0].as_py() for c in ("bi", "bj", "nb"))
@@ -205,22 +214,36 @@ def _join(threshold: float):
     return run
 
 
-def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """See the module's docstring."""
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _classes(documents: DataFrame, threshold: float, recall: float, words: int, depth: int, leaf: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(one row per document: doc_id, th, sa, sb, n_grams; one row per set: its class's first document, its links and copies)."""
     spark = documents.sparkSession
     runs = runs_needed(threshold, recall, depth)
-    docs = documents.select("doc_id", "text")
-    sketches = stored(docs.mapInArrow(_sketch(runs * depth, words), "doc_id long, sa long, sb long, n_grams long, picks binary"), "sketches")
+    docs = documents.select("doc_id", "text", _text_key().alias("th"))
+    sketches = stored(docs.mapInArrow(_sketch(runs * depth, words), "doc_id long, th long, sa long, sb long, n_grams long, picks binary"), "sketches")
     full = sketches.where("n_grams > 0")
     low = F.transform(F.sequence(F.lit(0), F.lit(runs * depth - 1)), lambda k: F.substring(F.col("picks"), k * 4 + 1, F.lit(1)))
-    reps = full.groupBy("sa", "sb", "n_grams").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("picks").alias("picks"))
-    reps = stored(reps.select("*", F.aggregate(low, F.lit(b""), lambda a, x: F.concat(a, x)).alias("sketch")), "reps")
-    proposals = components(_candidates(reps, runs, depth, leaf))
-    members = stored(proposals.join(reps.select("id", "n_copies"), "id"), "members")
+    # the first row of a set: by id, rows without one last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))).alias("first")
+    reps = full.groupBy("sa", "sb", "n_grams").agg(first, F.count("*").alias("n_copies"), F.first("picks").alias("picks"))
+    # numbered once, as the stored table is written
+    reps = stored(reps.select("*", F.monotonically_increasing_id().alias("id"), F.aggregate(low, F.lit(b""), lambda a, x: F.concat(a, x)).alias("sketch")), "reps")
+    edges = _candidates(reps, runs, depth, leaf)
+    proposals = components(edges)
+    members = stored(proposals.join(reps.select("id", "first", "n_copies"), "id"), "members")
+    drop_stored(edges)
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).alias("m")
+    texts = docs.alias("t")
+    repeated = full.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():  # equal rows: one of them is enough
+        texts = docs.groupBy("doc_id", "th").agg(F.first("text").alias("text")).alias("t")
     # always a merge join: components are not bounded, so they are never broadcast
-    sets = members.hint("merge").join(docs.withColumnRenamed("doc_id", "id"), "id").select("root", "nb", "block", "id", "n_copies", "text").mapInArrow(_gram_sets(words), "root long, nb int, block int, id long, n_copies long, grams binary")
+    same = F.col("t.doc_id").eqNullSafe(F.col("m.first.doc_id")) & (F.col("t.th") == F.col("m.first.th"))
+    sets = members.hint("merge").join(texts, same).select("root", "nb", "block", "id", "n_copies", "text").mapInArrow(_gram_sets(words), "root long, nb int, block int, id long, n_copies long, grams binary")
     tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     tasks = tasks.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     tasks = tasks.repartition(4 * partitions(spark), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
@@ -230,7 +253,34 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, recall:
     if not apart.isEmpty():
         counted = joined.where("split").groupBy("id").agg(F.sum("links").alias("links"))
         whole = whole.union(counted.join(components(apart), "id", "left").select("id", F.coalesce("root", "id").alias("class_id"), "links"))
-    classes = reps.select("sa", "sb", F.col("n_grams").alias("n"), "id", "n_copies").join(whole, "id", "left")
-    classes = classes.select("sa", "sb", "n", "n_copies", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    rows = sketches.select("doc_id", "sa", "sb", "n_grams").alias("r").join(classes.alias("c"), (F.col("r.sa") == F.col("c.sa")) & (F.col("r.sb") == F.col("c.sb")) & (F.col("r.n_grams") == F.col("c.n")), "left")
-    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.col("n_grams"))
+    linked = reps.select("sa", "sb", F.col("n_grams").alias("n"), "id", "first", "n_copies").join(whole, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    heads = linked.where("links > 0").groupBy("class_id").agg(F.min("first").alias("head"))
+    linked = linked.join(heads, "class_id", "left")
+    return sketches, linked.select("sa", "sb", "n", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), "n_copies")
+
+
+def _with_class(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    rows = sketches.select("doc_id", "th", "sa", "sb", "n_grams").alias("r")
+    return rows.join(classes.alias("c"), (F.col("r.sa") == F.col("c.sa")) & (F.col("r.sb") == F.col("c.sb")) & (F.col("r.n_grams") == F.col("c.n")), "left")
+
+
+def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """See the module's docstring."""
+    rows = _with_class(*_classes(documents, threshold, recall, words, depth, leaf, block))
+    class_id = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    return rows.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.col("n_grams"))
+
+
+def keep_one(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """The first document of each class (by id, rows without one last), with all its columns; of equal rows one stays."""
+    sketches, classes = _classes(documents, threshold, recall, words, depth, leaf, block)
+    rows = _with_class(sketches, classes)
+    later = F.col("head").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th")))
+    gone = stored(rows.where(later).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "gone")
+    keyed = documents.withColumn("__th", _text_key())
+    kept = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["gone_id"]) & (keyed["__th"] == gone["gone_th"]), "left_anti")
+    repeated = stored(sketches.where("n_grams > 0").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")), "repeated")
+    if not repeated.isEmpty():
+        same = kept["doc_id"].eqNullSafe(repeated["gone_id"]) & (kept["__th"] == repeated["gone_th"])
+        kept = kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__th"]))
+    return kept.select(documents.columns)
