@@ -11,7 +11,7 @@ destination of every segment, and headers and contents are copied into one preal
 
 Defined cases: null text is empty, null role is the empty role, turns are ordered by (turn, role, text)
 with nulls first, so ties and repeated rows have a fixed order and all are kept; null conv_id forms one
-conversation; an empty table gives no rows; other columns are ignored.  A conversation is one row of the
+conversation; an empty table gives no rows; other columns are ignored, whatever their names.  A conversation is one row of the
 output, hence bounded by the longest conversation, not by the table.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import list_array, ranges, text_bytes
 
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
+PART_BYTES = 1 << 28
 OUT = "conv_id long, n_turns long, formatted binary, turn_starts array<long>, loss_starts array<long>, loss_ends array<long>"
 
 
@@ -61,8 +62,18 @@ def _assemble(header: np.ndarray, header_off: np.ndarray, body: np.ndarray, body
     return out, np.column_stack([starts, at[5::5]])
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most PART_BYTES, or of one conversation: a binary column ends at 2 GB."""
     for batch in batches:
+        if batch.num_rows > 1 and batch.nbytes > PART_BYTES:
+            half = batch.num_rows // 2
+            yield from _parts([batch.slice(0, half), batch.slice(half)])
+        else:
+            yield batch
+
+
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
         if not batch.num_rows:
             continue
         turns = batch.column(1)

@@ -13,7 +13,8 @@ Both training samples are bounded by `sample_rows` each (the rows with the small
 documents are scored.  Statistics come from built-in functions, the network runs on Arrow batches of them.
 
 Defined cases: null and empty texts have all statistics 0 and get a score as well; repeated rows score alike;
-an empty table gives no rows; without positives the prior is 0 and every score is 0; labels of documents that
+rows without an id are scored, not held out, and never learned from; of rows with one id the one with the least statistics is
+learned from; an empty table gives no rows; without positives the prior is 0 and every score is 0; labels of documents that
 don't exist are ignored; other columns are ignored.
 """
 
@@ -34,8 +35,8 @@ CUT = 0.7
 
 
 def held_out() -> Column:
-    """Rows whose labels are never learned from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """Rows whose labels are never learned from (a null id counts as empty text: not held out)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -136,9 +137,10 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     pick = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = pick(trusted).select("doc_id", F.lit(1).alias("_p")).union(pick(ids).select("doc_id", F.lit(0).alias("_p")))
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = text_statistics(sample, keep=["doc_id", "_p"]).select("doc_id", "_p", *[f"f_{f}" for f in FEATURES]).limit(4 * sample_rows).collect()
+    # of rows with one id the one with the least statistics: at most one per chosen id and role
+    rows = text_statistics(sample, keep=["doc_id", "_p"]).groupBy("doc_id", "_p").agg(F.min(F.struct(*[f"f_{f}" for f in FEATURES])).alias("x")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["_p"]))
-    x = np.array([[r[f"f_{f}"] for f in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES))
+    x = np.array([list(r["x"]) for r in rows], float).reshape(len(rows), len(FEATURES))
     p = np.array([r["_p"] == 1 for r in rows], bool)
     rng = np.random.default_rng(3)  # doc ids may be ordered by what they hold; halves must not
     return fit(x[p][rng.permutation(int(p.sum()))], x[~p][rng.permutation(int((~p).sum()))])

@@ -5,7 +5,8 @@ conjunctions by sequential covering on the statistics of a bounded, hash-ordered
 `DecisionList.rejects` emits the ordered CASE expression.  The corpus is only ever scanned, never shuffled.
 
 Defined cases: a null or empty text has no words (every figure 0, ratios 0.0); repeated rows are judged
-alike, one result row each; an empty table gives an empty result; an empty label table gives a list
+alike, one result row each; rows without an id are judged and never learned from; of rows with one id the one
+with the least statistics is learned from; an empty table gives an empty result; an empty label table gives a list
 without rules (the base rules still hold); extra columns are carried by `apply_rules` untouched.
 """
 
@@ -182,9 +183,10 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = text_statistics(documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id"), keep=["doc_id", "_q"])
-    got = sample.select("doc_id", "_q", *[f"f_{f}" for f in FEATURES]).limit(2 * sample_rows).collect()
+    # of rows with one id the one with the least statistics: at most one per labelled id
+    got = sample.groupBy("doc_id", "_q").agg(F.min(F.struct(*[f"f_{f}" for f in FEATURES])).alias("x")).collect()
     got.sort(key=lambda r: r["doc_id"])
-    x = {f: np.array([r[f"f_{f}"] for r in got]) for f in FEATURES}
+    x = {f: np.array([r["x"][f"f_{f}"] for r in got]) for f in FEATURES}
     return cover(x, np.array([r["_q"] == 0 for r in got], bool), **how)
 
 

@@ -14,8 +14,8 @@ Revisits: of records with equal payloads of at least `least` bytes the largest i
 are `revisit` records without a payload that refer to it.
 
 Defined cases: a null payload is empty; a null url is written as an empty target; equal ids are kept as
-separate records; an empty table gives empty bundles and index; other columns are ignored.  Null ids
-are written with an empty record id and read back as null; as ids of responses they lose against any other.
+separate records; an empty table gives empty bundles and index; other columns are ignored, whatever their
+names.  Null ids are written as `none` and read back as null; as ids of responses they lose against any other.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from .common import shared_dir
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 1 << 23, 3
 CRLF = b"\r\n"
+#: The date of records whose table doesn't say when a page was fetched, and the name of pages without an id.
+DATE, NO_ID = "1970-01-01T00:00:00Z", "none"
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -55,10 +57,11 @@ def read_seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def _record(page_id, url, payload: bytes, digest: str, size: int, refers) -> bytes:
-    name = "" if page_id is None else str(page_id)
+def _record(page_id, url, payload: bytes, digest: str, size: int, refers, date: str = DATE) -> bytes:
+    name = NO_ID if page_id is None else str(page_id)
     lines = [
         b"WARC/1.1",
+        f"WARC-Date: {date}".encode(),
         b"WARC-Type: " + (b"response" if refers is None else b"revisit"),
         f"WARC-Record-ID: <urn:page:{name}>".encode(),
         b"WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A").encode(),
@@ -119,7 +122,7 @@ _INDEX = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("o
 BUNDLES = "bundle string, data binary, records array<struct<page_id:long,frame:int,offset:long,length:long>>"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], date: str = DATE) -> Iterator[pa.RecordBatch]:
     def out(b: _Bundle) -> pa.RecordBatch:
         name, data, index = b.row()
         rows = [{"page_id": p, "frame": f, "offset": o, "length": n} for p, f, o, n in index]
@@ -130,7 +133,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, urls, htmls, digests, sizes, refs = (batch.column(i) for i in range(6))
         for i in range(batch.num_rows):
             html = htmls[i].as_py()
-            now.add(ids[i].as_py(), _record(ids[i].as_py(), urls[i].as_py(), (html or "").encode(), digests[i].as_py(), sizes[i].as_py(), refs[i].as_py()))
+            now.add(ids[i].as_py(), _record(ids[i].as_py(), urls[i].as_py(), (html or "").encode(), digests[i].as_py(), sizes[i].as_py(), refs[i].as_py(), date))
             if now.bytes >= BUNDLE_BYTES:
                 yield out(now)
                 now = _Bundle()
@@ -151,10 +154,10 @@ def revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     return rows.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", "size", refers.alias("refers"))
 
 
-def write_bundles(pages: DataFrame, path: str | None = None, least: int = 1000) -> str:
+def write_bundles(pages: DataFrame, path: str | None = None, least: int = 1000, date: str = DATE) -> str:
     """Write every page's record into bundles; returns the folder of the Parquet table of bundles with their indexes."""
     path = path or f"{shared_dir(pages.sparkSession)}/fallowgrid/warc-{uuid.uuid4().hex}"
-    revisits(pages, least).mapInArrow(_pack, BUNDLES).write.option("compression", "none").option("parquet.block.size", str(1 << 25)).parquet(path)
+    revisits(pages, least).mapInArrow(lambda batches: _pack(batches, date), BUNDLES).write.option("compression", "none").option("parquet.block.size", str(1 << 25)).parquet(path)
     return path
 
 
@@ -170,7 +173,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 def _id(urn: str | None) -> int | None:
     name = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(name) if name else None
+    return int(name) if name and name != NO_ID else None
 
 
 def _entry(bundle: str, frame: int, record: tuple) -> tuple:
