@@ -38,16 +38,24 @@ def folds(df: DataFrame, block: str, k: int, seed: int = 42) -> DataFrame:
     return df.join(dealt, block)
 
 
-def balanced_halves(blocks: Sequence[tuple[int, int, float]]) -> dict[int, int]:
-    """(block, stratum, area) to half 0 or 1: per stratum, largest first onto the lighter half."""
-    out: dict[int, int] = {}
-    for stratum in sorted({s for _, s, _ in blocks}):
-        load = [0.0, 0.0]
-        for block, _, area in sorted((b for b in blocks if b[1] == stratum), key=lambda b: (-b[2], b[0])):
-            half = 0 if load[0] <= load[1] else 1
-            out[block] = half
-            load[half] += area
-    return out
+def balanced_halves(blocks: DataFrame, block: str, stratum: str, area: str) -> DataFrame:
+    """(block, stratum, area, half): within a stratum blocks are dealt from the largest down (ties by id), each to the half with less area so far, 0 of equals.
+
+    The deal is a fold over the stratum's sorted blocks: blocks are spatial squares, so a stratum's list is short.
+    """
+    queue = F.sort_array(F.collect_list(F.struct((-F.col(area)).alias("less"), F.col(block).alias("id"))))
+    ahead = F.col("_queue")
+    start = F.struct(F.lit(0.0).alias("lead"), F.array().cast("array<int>").alias("halves"))
+    # lead: area of half 0 less that of half 1
+    deal = lambda acc, x: F.struct((acc["lead"] + F.when(acc["lead"] <= 0, -x["less"]).otherwise(x["less"])).alias("lead"), F.concat(acc["halves"], F.array((acc["lead"] > 0).cast("int"))).alias("halves"))
+    dealt = blocks.groupBy(stratum).agg(queue.alias("_queue")).select(stratum, "_queue", F.aggregate(ahead, start, deal, lambda acc: acc["halves"]).alias("_halves"))
+    return dealt.select(stratum, F.explode(F.arrays_zip("_queue", "_halves")).alias("x")).select(F.col("x._queue.id").alias(block), stratum, (-F.col("x._queue.less")).alias(area), F.col("x._halves").alias("half"))
+
+
+def split_balance(blocks: DataFrame, stratum: str, area: str, half: str = "half", least: int = 1000, rows: str = "n") -> DataFrame:
+    """(stratum, half, blocks, area, share_pct of the stratum, rows, thin): thin marks halves with fewer rows than `least`."""
+    g = blocks.groupBy(stratum, half).agg(F.count("*").alias("blocks"), F.sum(area).alias("area"), F.sum(rows).alias("rows"))
+    return g.withColumn("share_pct", 100 * F.col("area") / F.sum("area").over(Window.partitionBy(stratum))).withColumn("thin", F.col("rows") < least)
 
 
 def halves(df: DataFrame, split: str) -> DataFrame:

@@ -8,23 +8,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+from .sampling import uniform_sample
+
 
 def _cumulated(counts: DataFrame, by: Sequence[str], value: str, n: str = "n") -> DataFrame:
     """`before`: the sum of n over smaller values of the same group, without a single-task sort.
 
-    Sorted ranges each cumulate on their own; the ranges' totals (one row per range and group) are cumulated
-    apart and broadcast: as many rows as partitions times groups that cross them.
+    The counts are dealt into sorted ranges and written once with the number of their range, so that both uses
+    see the same ranges.  Each range cumulates on its own; the ranges' totals (one row per range and group) are
+    cumulated apart and joined back.
     """
-    parted = counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id())
+    parted = stored(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = parted.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
     totals = parted.groupBy("_part", *by).agg(F.sum(n).alias("_t"))
-    over = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_off", F.coalesce(F.sum("_t").over(over), F.lit(0))).drop("_t")
-    return local.join(totals, ["_part", *by]).withColumn("before", F.col("_in") + F.col("_off")).drop("_part", "_in", "_off")
+    same = [F.col("l._part") == F.col("t._part"), *(F.col(f"l.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by)]
+    return local.alias("l").join(totals.alias("t"), same).select("l.*", (F.col("_in") + F.col("_off")).alias("before")).drop("_part", "_in")
+
+
+def percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by.., p0, p1, ..): exact percentiles with linear interpolation, from counts of distinct values and their ranks."""
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    ranked = _cumulated(d.groupBy(*by, value).agg(F.count("*").alias("n")), by, value)
+    sizes = ranked.groupBy(*by).agg(F.sum("n").alias("_n"))
+    j = ranked.alias("r").join(sizes.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by] or F.lit(True)).select("r.*", "_n")
+    place = [F.lit(float(p)) * (F.col("_n") - 1) for p in shares]
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value).cast("double")))
+    picked = j.groupBy(*by).agg(*[f(h).alias(f"{name}{i}") for i, h in enumerate(place) for name, f in (("_lo", lambda h: at(F.floor(h))), ("_hi", lambda h: at(F.ceil(h))), ("_w", lambda h: F.max(h - F.floor(h))))])
+    return picked.select(*by, *[(F.col(f"_lo{i}") + F.col(f"_w{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"p{i}") for i in range(len(shares))])
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -93,21 +110,23 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(F.try_divide(F.col("ij") - expected, (F.col("i") + F.col("j")) / 2 - expected).alias("ari"))
 
 
-def quantile_bins(df: DataFrame, x: str, bins: int) -> Column:
-    """Index of the equal-frequency bin of x (edges by exact percentiles of the table, duplicate edges merged)."""
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    out = F.when(F.col(x).isNotNull(), F.lit(0))
-    for i, e in enumerate(edges[1:-1], 1):
-        out = F.when(F.col(x) > F.lit(e), F.lit(i)).otherwise(out) if i == 1 else F.when(F.col(x) > F.lit(e), F.lit(i)).otherwise(out)
-    return out
+def quantile_bins(df: DataFrame, x: str, bins: int, name: str = "bin") -> DataFrame:
+    """`df` with the index of each row's equal-frequency bin of x (edges by exact percentiles, equal edges count once)."""
+    inner = percentiles(df, x, [i / bins for i in range(1, bins)])
+    ends = df.agg(F.min(x).cast("double").alias("_least"), F.max(x).cast("double").alias("_most"))
+    edges = inner.crossJoin(F.broadcast(ends)).select(F.filter(F.array_distinct(F.array(*[F.col(f"p{i}") for i in range(bins - 1)])), lambda e: (e > F.col("_least")) & (e < F.col("_most"))).alias("_edges"))
+    # one row of fixed size
+    out = df.crossJoin(F.broadcast(edges))
+    return out.withColumn(name, F.when(F.col(x).isNotNull(), F.size(F.filter("_edges", lambda e: e < F.col(x))))).drop("_edges")
 
 
-def variogram(points: DataFrame, value: str, bins: int, longest: float) -> DataFrame:
-    """(bin, lag, gamma, n) of point pairs (id, x, y) up to `longest` apart.
+def variogram(points: DataFrame, value: str, bins: int, longest: float, most_points: int | None = None, seed: int = 42) -> DataFrame:
+    """(bin, lag, gamma, n) of point pairs (id, x, y) up to `longest` apart, of a sample of `most_points` points where given.
 
-    Points meet only those of their own and the eight neighbouring squares with sides of `longest`.
+    Points meet only those of their own and the eight neighbouring squares with sides of `longest`; pairs grow
+    with the square of the points in a square, so data of an extent near `longest` need `most_points`.
     """
+    points = points if most_points is None else uniform_sample(points, "id", most_points, seed)
     p = points.select("id", "x", "y", F.col(value).alias("v"), F.floor(F.col("x") / longest).cast("int").alias("gx"), F.floor(F.col("y") / longest).cast("int").alias("gy"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     q = p.select("*", F.explode(around).alias("o")).select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("v").alias("v2"), (F.col("gx") + F.col("o.i")).cast("int").alias("gx"), (F.col("gy") + F.col("o.j")).cast("int").alias("gy"))

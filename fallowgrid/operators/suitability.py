@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +71,13 @@ def comparative(cells: DataFrame, columns: Sequence[str], floor: float = 1e-6, p
 
 
 def perturbed_weights(weights: Sequence[float], delta: float = 0.2) -> list[list[float]]:
-    """Each normalised weight moved by -delta and +delta of itself, the others rescaled to keep the sum 1."""
-    total = sum(weights)
-    w = [x / total for x in weights]
-    out = []
-    for i, x in enumerate(w):
-        for sign in (-1, 1):
-            moved = min(1.0, max(0.0, x * (1 + sign * delta)))
-            rest = 1 - x
-            out.append([moved if j == i else (y * (1 - moved) / rest if rest > 0 else 0.0) for j, y in enumerate(w)])
-    return out
+    """Rows of a matrix: one weight scaled by 1 + delta or 1 - delta (at most 1), the rest of the row's sum of 1 shared as before."""
+    base = np.asarray(weights, float) / np.sum(weights)
+    eye = np.repeat(np.eye(len(base), dtype=bool), 2, axis=0)
+    scaled = np.clip(np.outer(base, [1 + delta, 1 - delta]).ravel(), 0, 1)
+    rest = np.where(eye, 0.0, base)
+    share = np.divide(rest, rest.sum(1, keepdims=True), out=np.zeros_like(rest), where=rest.any(1, keepdims=True))
+    return (np.where(eye, scaled[:, None], 0.0) + share * (1 - scaled)[:, None]).tolist()
 
 
 def sensitivity(segment: Segment, delta: float = 0.2) -> Column:

@@ -51,6 +51,7 @@ def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, order_by: str, res
     v = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df).cache()
     models = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="_z").fit(v) for i in range(restarts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    v.unpersist()
     labelled = best.transform(v)
     rank = [r["_z"] for r in labelled.groupBy("_z").agg(F.avg(order_by).alias("m")).orderBy(F.desc("m"), "_z").collect()]
     zone = F.array_position(F.array(*[F.lit(z) for z in rank]), F.col("_z")) - 1

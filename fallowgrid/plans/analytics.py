@@ -64,8 +64,8 @@ def zone_area_share(spark, d):
 def percentile_table(spark, d):
     x = sampling.halves(table(spark, d, "lineitem").withColumn("split", F.pmod("l_orderkey", F.lit(2)).cast("int")), "split")
     ps = (5, 10, 25, 50, 75, 90, 95)
-    g = x.groupBy("l_linestatus", "half").agg(F.percentile("l_extendedprice", F.array(*[F.lit(p / 100) for p in ps])).alias("p"))
-    return g.select("l_linestatus", "half", *[F.round(F.col("p")[i], 6).alias(f"p{p}") for i, p in enumerate(ps)])
+    g = stats.percentiles(x, "l_extendedprice", [p / 100 for p in ps], ["l_linestatus", "half"])
+    return g.select("l_linestatus", "half", *[F.round(f"p{i}", 6).alias(f"p{p}") for i, p in enumerate(ps)])
 
 
 def role_mode(spark, d):
@@ -102,9 +102,8 @@ def boyce(spark, d):
 
 
 def quantile_gradient(spark, d):
-    x = table(spark, d, "lineitem")
-    g = x.withColumn("bin", stats.quantile_bins(x, "l_extendedprice", 5)).groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean_q"))
-    return g
+    x = stats.quantile_bins(table(spark, d, "lineitem"), "l_extendedprice", 5)
+    return x.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean_q"))
 
 
 def ari_contingency(spark, d):
@@ -281,7 +280,7 @@ QUERIES = {
     "bilinear": (bilinear, f"WITH {GRID}, k AS (SELECT gx // 8 AS cx, gy // 8 AS cy, avg(v) AS v FROM c GROUP BY 1, 2), f AS (SELECT gx, gy, (gx + 0.5) / 8 - 0.5 AS x, (gy + 0.5) / 8 - 0.5 AS y FROM c), w AS (SELECT gx, gy, (1 - abs(x - cx)) * (1 - abs(y - cy)) AS w, v FROM f JOIN k ON cx IN (floor(x), floor(x) + 1) AND cy IN (floor(y), floor(y) + 1)) SELECT gx, gy, round((sum(w * v) / sum(w))::DOUBLE, 7) AS v FROM w GROUP BY 1, 2"),
     "slope_gradient": (slope_gradient, f"WITH {GRID}, s AS (SELECT a.gx, a.gy, count(*) AS n, sum(b.v * (b.gx - a.gx) * CASE WHEN b.gy = a.gy THEN 2 ELSE 1 END) / 80 AS dx, sum(b.v * (b.gy - a.gy) * CASE WHEN b.gx = a.gx THEN 2 ELSE 1 END) / 80 AS dy FROM c a JOIN c b ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 GROUP BY 1, 2) SELECT gx, gy, round(degrees(atan(sqrt(dx ^ 2 + dy ^ 2))), 6) AS slope FROM s WHERE n = 9"),
     "haversine": (haversine, "WITH x AS (SELECT vec_id, radians(embedding[1]::DOUBLE) AS o1, radians(embedding[2]::DOUBLE) AS a1, radians(embedding[3]::DOUBLE) AS o2, radians(embedding[4]::DOUBLE) AS a2 FROM embeddings) SELECT vec_id, round(2 * 6371.0088 * asin(sqrt(sin((a2 - a1) / 2) ^ 2 + cos(a1) * cos(a2) * sin((o2 - o1) / 2) ^ 2)), 5) AS km FROM x"),
-    "regression_diff": (regression_diff, "SELECT 'p_retailprice' AS \"column\", 0.0::DOUBLE AS lowest, 0.5::DOUBLE AS highest, true AS changed UNION ALL SELECT 'p_size', 0.0, 0.0, false"),
+    "regression_diff": (regression_diff, "WITH a AS (SELECT p_retailprice AS o, p_retailprice + CASE WHEN p_partkey % 100 = 0 THEN 0.5 ELSE 0.0 END AS n, p_size::DOUBLE AS so, p_size::DOUBLE AS sn FROM part), x AS (SELECT 'p_retailprice' AS \"column\", min(n - o) AS a, max(n - o) AS b FROM a UNION ALL SELECT 'p_size', min(sn - so), max(sn - so) FROM a) SELECT \"column\", round(a, 6)::DOUBLE AS lowest, round(b, 6)::DOUBLE AS highest, greatest(abs(a), abs(b)) > 1e-6 AS changed FROM x"),
     "zscore_columns": (zscore_columns, "WITH t AS (SELECT avg(p_size) AS a, stddev_pop(p_size) AS b, avg(p_retailprice) AS c, stddev_pop(p_retailprice) AS d FROM part) SELECT p_partkey, round((p_size - a) / greatest(b, 1e-9), 7) AS p_size, round((p_retailprice - c) / greatest(d, 1e-9), 7) AS p_retailprice FROM part, t"),
     "window_climatology": (window_climatology, "SELECT strftime(to_timestamp(floor(epoch(ts) / 432000)::BIGINT * 432000), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 5) AS total FROM events GROUP BY 1, 2"),
     "canonical_zones": (canonical_zones, "WITH m AS (SELECT label, avg(embedding[1]::DOUBLE) AS m, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, (row_number() OVER (ORDER BY m DESC, label))::INT AS canonical, n FROM m"),

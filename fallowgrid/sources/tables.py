@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 import json
 from collections.abc import Callable, Sequence
 from functools import lru_cache
@@ -60,3 +62,21 @@ def write_json(df: DataFrame, path: str) -> None:
 def latest(df: DataFrame, key: str, priority: str, value: str) -> DataFrame:
     """Mosaic: of the layers of a cell, the valid value with the highest priority."""
     return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, priority).alias(value))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a fresh one where unset on a single machine (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="fallowgrid-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """`df` written once to the shared folder and read back: all that is derived from it sees the same rows."""
+    path = f"{shared_dir(df.sparkSession)}/fallowgrid/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

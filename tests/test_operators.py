@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fallowgrid.functions.membership import aggregate, check_points, membership, suitability_class
-from fallowgrid.operators import ahp, grid, sampling
+from fallowgrid.operators import ahp, grid, sampling, stats, zoning
 from fallowgrid.operators.suitability import perturbed_weights, zero_mask
 
 
@@ -57,6 +57,42 @@ def test_distance_without_sources_is_null(spark):
     assert {r.d2 for r in grid.squared_distance(df, "s").collect()} == {None}
 
 
-def test_balanced_halves():
-    halves = sampling.balanced_halves([(1, 0, 5.0), (2, 0, 3.0), (3, 0, 2.0), (4, 1, 1.0)])
-    assert halves == {1: 0, 2: 1, 3: 1, 4: 0}
+def test_balanced_halves(spark):
+    df = spark.createDataFrame([(1, 0, 5.0), (2, 0, 3.0), (3, 0, 2.0), (4, 1, 1.0)], "b int, s int, a double")
+    assert {r.b: r.half for r in sampling.balanced_halves(df, "b", "s", "a").collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ranks_over_many_ranges(spark, adaptive):
+    """A million distinct values over 200 partitions: ranks, AUC and percentiles equal those of a plain sort."""
+    for k, v in (("spark.sql.shuffle.partitions", "200"), ("spark.sql.adaptive.enabled", adaptive)):
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(1_000_000).select(((F.col("id") * 7919) % 1_000_003).cast("double").alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 2).alias("g"))
+        i = np.arange(1_000_000)
+        s, y, g = (i * 7919) % 1_000_003, i % 3 == 0, i % 2
+        for name, want in ((None, slice(None)), (0, g == 0)):
+            d = df if name is None else df.where(f"g = {name}")
+            rank = np.empty(len(s[want]))
+            rank[np.argsort(s[want])] = np.arange(1, len(rank) + 1)
+            p = y[want].sum()
+            auc = (rank[y[want]].sum() - p * (p + 1) / 2) / (p * (len(rank) - p))
+            assert stats.auc(d, "s", "y").first()["auc"] == pytest.approx(auc, abs=1e-12)
+        got = {r.g: (r.p0, r.p1) for r in stats.percentiles(df, "s", [0.1, 0.5], ["g"]).collect()}
+        assert all(got[k] == pytest.approx(np.percentile(s[g == k], [10, 50])) for k in (0, 1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_fits_equal_plain_ones(spark):
+    """Principal shares against the covariance's eigenvalues; zones against their centres."""
+    r = np.random.default_rng(2)
+    x = r.normal(0, [3, 1, 0.5], (400, 3)) + r.choice([0, 12], (400, 1))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, a double, b double, c double")
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    assert np.allclose(zoning.fit_pca(df, ["a", "b", "c"])[2], values / values.sum())
+    labelled, centres = zoning.fit_kmeans(df, ["a", "b", "c"], 2, "a", restarts=2)
+    zone = np.array([z.zone for z in labelled.orderBy("id").collect()])
+    assert (zone == ((x[:, None] - np.array(centres)[None]) ** 2).sum(2).argmin(1)).all()
+    assert np.allclose(centres, [x[zone == k].mean(0) for k in (0, 1)]) and centres[0][0] > centres[1][0]
