@@ -78,3 +78,53 @@ def half_delta(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """calib, val and full side by side, with val - calib."""
     p = metrics.groupBy(*keys).pivot("half", ["calib", "val", "full"]).agg(F.first("value"))
     return p.withColumn("delta", F.col("val") - F.col("calib"))
+
+
+def relative_change(before: Column, after: Column) -> list[Column]:
+    """Difference in percentage points of two shares, and the relative change (null where there was nothing)."""
+    return [(100 * (after - before)).alias("change_pp"), (100 * F.try_divide(after - before, before)).alias("change_pct")]
+
+
+def renormalised(df: DataFrame, value: str, by: Sequence[str]) -> Column:
+    """Each value over the sum of its group."""
+    return F.col(value) / F.sum(value).over(Window.partitionBy(*by))
+
+
+def breakpoint_gate(points: DataFrame, move: float = 0.05, note: float = 0.001) -> DataFrame:
+    """Adds delta_over_span, move_breakpoint and rewrite_note to rows (value_now, value_proposed, span)."""
+    delta = F.col("value_proposed") - F.col("value_now")
+    over = F.abs(F.try_divide(delta, F.col("span")))
+    return points.withColumns({"delta_over_span": over, "move_breakpoint": over >= move, "rewrite_note": (over < move) & (F.abs(F.try_divide(delta, F.abs("value_now"))) > note)})
+
+
+def footprint(cells: DataFrame, x: str, y: str, step: float, eps: float = 1e-6) -> DataFrame:
+    """(x0, x1, y0, y1, n, off_grid): bounds, and how many cells lie off the grid that starts at the lowest corner."""
+    box = cells.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    off = lambda c, c0: F.abs((F.col(c) - F.col(c0)) / step - F.round((F.col(c) - F.col(c0)) / step)) > eps
+    return cells.select(x, y).crossJoin(F.broadcast(box)).groupBy("x0", "x1", "y0", "y1").agg(F.count("*").alias("n"), F.sum((off(x, "x0") | off(y, "y0")).cast("long")).alias("off_grid"))
+
+
+def zone_gate(df: DataFrame, zone: str, area: str, zones: int) -> DataFrame:
+    """(zone, area, share_pct, collapsed): collapsed where fewer than `zones` zones have any area."""
+    g = area_shares(df, [zone], area)
+    n = g.agg(F.count_if(F.col("area") > 0).alias("_n"))
+    return g.crossJoin(F.broadcast(n)).withColumn("collapsed", F.col("_n") < zones).drop("_n")
+
+
+def ranking(units: DataFrame, suit: str, unused: str, zone: str, delta: str, k: int = 5) -> DataFrame:
+    """(list, place, unit's columns, opportunity, zone_id): the k units of most opportunity and the k that lose most; zone_id is the rounded mean of 0-based ids plus 1."""
+    u = units.withColumns({"opportunity": F.col(suit) * F.col(unused), "zone_id": F.round(zone).cast("int") + 1})
+    out = None
+    for name, order in (("opportunity", [F.desc("opportunity"), F.asc("unit")]), ("vulnerability", [F.asc(delta), F.asc("unit")])):
+        top = top_k(u, k, order)
+        top = top.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("list", F.lit(name))
+        out = top if out is None else out.union(top)
+    return out
+
+
+def by_theme(df: DataFrame, factor: str, value: str, themes: Sequence[tuple[str, str]], other: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., theme, value): sums by the theme of a factor's name (first prefix that fits)."""
+    theme = F.lit(other)
+    for prefix, name in reversed(list(themes)):
+        theme = F.when(F.col(factor).startswith(prefix), F.lit(name)).otherwise(theme)
+    return df.groupBy(*by, theme.alias("theme")).agg(F.sum(value).alias(value))

@@ -141,3 +141,32 @@ def variogram_range(gamma: DataFrame, share: float = 0.95) -> DataFrame:
     env = gamma.withColumn("env", F.max("gamma").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(w)).withColumn("m", F.count("*").over(Window.partitionBy()))
     env = env.withColumn("sill", F.avg(F.when(F.col("k") > F.col("m") - F.ceil(F.col("m") / 4), F.col("env"))).over(Window.partitionBy()))
     return env.agg(F.max("sill").alias("sill"), F.min(F.when((F.col("env") >= share * F.col("sill")) & (F.col("m") >= 4), F.col("lag"))).alias("range"))
+
+
+def monotonic(df: DataFrame, order: str, value: str) -> DataFrame:
+    """(monotonic,): whether the value never falls along the order; null for fewer than two rows (a table of bins: few rows)."""
+    w = Window.orderBy(order)
+    d = df.select((F.col(value) - F.lag(value).over(w)).alias("d"))
+    return d.agg(F.bool_and(F.col("d") >= 0).alias("monotonic"))
+
+
+def gradient(df: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
+    """(bin, n, mean_x, mean_y, rho, monotonic): rank correlation and means by equal-frequency bins of x, over rows with both values."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    g = quantile_bins(both, x, bins).groupBy("bin").agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"))
+    one = spearman(both, x, y).select("rho", F.col("n").alias("_all")).crossJoin(F.broadcast(monotonic(g, "bin", "mean_y")))
+    return g.crossJoin(F.broadcast(one)).where(F.col("_all") >= bins).drop("_all")
+
+
+def boyce_index(df: DataFrame, score: str, presence: str, bins: int = 10, width: float = 0.1) -> DataFrame:
+    """(boyce, n): rank correlation of the windows' centres with their ratios."""
+    return spearman(boyce(df, score, presence, bins, width), "centre", "pe").select(F.col("rho").alias("boyce"), "n")
+
+
+def interpolated(table: DataFrame, x: str, y: str, at: float) -> DataFrame:
+    """(value,): y at a place between the table's points, by the line through its neighbours; the end's y outside."""
+    low = F.max(F.when(F.col(x) <= at, F.struct(F.col(x), F.col(y)))).alias("lo")
+    high = F.min(F.when(F.col(x) >= at, F.struct(F.col(x), F.col(y)))).alias("hi")
+    a, b = F.col("lo"), F.col("hi")
+    line = a[y] + F.coalesce(F.try_divide(F.lit(at) - a[x], b[x] - a[x]), F.lit(0.0)) * (b[y] - a[y])
+    return table.agg(low, high).select(F.coalesce(line, a[y], b[y]).alias("value"))
