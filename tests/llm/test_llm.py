@@ -375,3 +375,35 @@ def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns[0] == "doc_id" and out.count() == out.select("doc_id").distinct().count() > 0
+
+
+def test_quality_stage_computes_statistics_once(spark):
+    """The filter stays above the statistics: one window hash in the plan, not one for each mention (pipeline)."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    plan = pipeline.drop_low_quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1
+
+
+def test_license_base_columns_equal_brute_force(spark):
+    """Words, phrase places and base labels of whole texts (op8)."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in QUERIES["op8_license_scan"](spark, "/root/testdata/sf0.001").collect()}
+    for doc in docs:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), doc.text or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(i, name) for p, name in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        r = got[doc.doc_id]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(places), ",".join(sorted({n for _, n in places})))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+
+
+def test_near_copies_by_row(spark):
+    """Rows without ids, of one id, and equal rows: one of each class stays (op6, pipeline)."""
+    a, b = prose(60, 401), prose(60, 402)
+    rows = [(5, a), (None, a), (3, a + " end"), (7, b), (7, a), (7, b), (None, b), (None, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class_id string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(df).collect())
+    assert got == Counter([(5, 3, 3), (None, 3, 3), (3, 3, 3), (7, 3, 3), (7, 7, 2), (7, 7, 2), (None, 7, 2), (None, None, 0), (8, 8, 0)])
+    kept = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(df).collect())
+    assert kept == Counter([(3, a + " end"), (7, b), (None, None), (8, "")])
