@@ -128,3 +128,72 @@ def by_theme(df: DataFrame, factor: str, value: str, themes: Sequence[tuple[str,
     for prefix, name in reversed(list(themes)):
         theme = F.when(F.col(factor).startswith(prefix), F.lit(name)).otherwise(theme)
     return df.groupBy(*by, theme.alias("theme")).agg(F.sum(value).alias(value))
+
+
+def localised(value: Column, places: int) -> Column:
+    """Fixed places with a decimal comma and points between thousands."""
+    return F.translate(F.format_number(value, places), ",.", ".,")
+
+
+def signed(value: Column, places: int) -> Column:
+    """`localised` with its sign shown; what rounds to zero has none."""
+    text = localised(F.abs(value), places)
+    return F.when(F.round(value, places) == 0, text).otherwise(F.concat(F.when(value < 0, "-").otherwise("+"), text))
+
+
+def latex_table(df: DataFrame, caption: str, label: str) -> str:
+    """A tabular of a report table: a few rows, in their order."""
+    escape = lambda v: "--" if v is None else "".join("\\" + c if c in "&%$#_{}" else c for c in str(v))
+    body = [" & ".join(map(escape, row)) + r" \\" for row in [df.columns, *df.collect()]]
+    return "\n".join([r"\begin{table}", rf"\caption{{{caption}}}\label{{{label}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\hline", body[0], r"\hline", *body[1:], r"\hline", r"\end{tabular}", r"\end{table}", ""])
+
+
+def search(df: DataFrame, column: str, text: str) -> DataFrame:
+    """Rows whose column holds the text, whatever the case."""
+    return df.where(F.contains(F.lower(column), F.lower(F.lit(text))))
+
+
+def eligible(policy: str) -> Column:
+    """The cells that a mask policy leaves in."""
+    known = {"available": F.col("mask_available") == 1, "exclude_only": F.col("mask_excluded") == 0, "none": F.lit(True)}
+    if policy not in known:
+        raise ValueError(f"unknown mask policy {policy!r}")
+    return known[policy]
+
+
+def half_filter(df: DataFrame, half: str, split: str = "split") -> DataFrame:
+    """The rows of a half; `full` adds no filter at all."""
+    if half not in ("full", "calib", "val"):
+        raise ValueError(f"unknown half {half!r}")
+    return df if half == "full" else df.where(F.col(split) == int(half == "val"))
+
+
+def discrimination(cells: DataFrame, now: dict[str, str], then: dict[str, str]) -> DataFrame:
+    """(half, factor, mean, sigma, saturated, vetoed, mean_future, sigma_future, sigma_horizon): memberships now and then, all factors and halves in one aggregation."""
+    aggs = [x.alias(f"{f}#{n}") for f, c in now.items() for n, x in zip(("mean", "sigma", "saturated", "vetoed"), saturation(c), strict=True)]
+    aggs += [x.alias(f"{f}#{n}_future") for f, c in then.items() for n, x in zip(("mean", "sigma"), saturation(c), strict=False)]
+    names = ("mean", "sigma", "saturated", "vetoed", "mean_future", "sigma_future")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), *[F.col(f"`{f}#{n}`").alias(n) for n in names]) for f in now])).alias("x")
+    out = cells.groupBy("half").agg(*aggs).select("half", each).select("half", "x.*")
+    return out.withColumn("sigma_horizon", pooled_sigma(F.col("sigma"), F.col("mean"), F.col("sigma_future"), F.col("mean_future")))
+
+
+def squares_by_theme(df: DataFrame, themes: dict[str, Sequence[str]]) -> DataFrame:
+    """(theme, squares): mean over the rows of the sum of squares of a theme's bands, one aggregation for all."""
+    row = df.agg(*[F.avg(sum((F.col(c) * F.col(c) for c in own), F.lit(0.0))).alias(t) for t, own in themes.items()])
+    return row.unpivot([], list(themes), "theme", "squares")
+
+
+def cross_checks(labels: DataFrame, zones: DataFrame, roles: DataFrame, known: Sequence[str]) -> DataFrame:
+    """(check, ok): every zone has one label and each label a zone, zones count from 1 without gaps, all roles are known."""
+    a, b = labels.select("zone"), zones.select("zone").distinct()
+    rows = [
+        ("labels", a.join(b, "zone", "left_anti").agg(F.count("*").alias("x")).crossJoin(b.join(a, "zone", "left_anti").agg(F.count("*").alias("y"))).crossJoin(a.agg((F.count("*") - F.countDistinct("zone")).alias("z"))).select((F.col("x") + F.col("y") + F.col("z") == 0).alias("ok"))),
+        ("order", b.agg(((F.min("zone") == 1) & (F.max("zone") == F.count("*"))).alias("ok"))),
+        ("roles", roles.where(~F.col("role").isin(*known)).agg((F.count("*") == 0).alias("ok"))),
+    ]
+    out = None
+    for name, row in rows:
+        row = row.select(F.lit(name).alias("check"), "ok")
+        out = row if out is None else out.union(row)
+    return out

@@ -81,21 +81,23 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(F.try_divide(po - pe, 1 - pe).alias("kappa"), "n")
 
 
-def anova(df: DataFrame, value: str, group: str) -> DataFrame:
-    """(f, n, k): one-way analysis of variance over groups with at least two rows."""
-    g = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("n >= 2")
-    t = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
-    s = g.select(F.col("n").alias("ng"), "m", "v").crossJoin(F.broadcast(t)).groupBy("n", "k").agg(F.sum(F.col("ng") * (F.col("m") - F.col("mean")) ** 2).alias("b"), F.sum(F.col("ng") * F.col("v")).alias("w"))
-    return s.select(F.try_divide(F.col("b") / (F.col("k") - 1), F.col("w") / (F.col("n") - F.col("k"))).alias("f"), "n", "k")
-
-
-def boyce(df: DataFrame, score: str, presence: str, bins: int = 10, width: float = 0.1) -> DataFrame:
-    """(centre, pe): predicted over expected share in moving windows over [0, 1]; windows without background go."""
+def anova(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., f, n, k): one-way analysis of variance over groups with at least two rows."""
+    g = df.where(F.col(value).isNotNull()).groupBy(*by, group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("n >= 2")
+    t = g.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    each = g.select(*by, F.col("n").alias("ng"), "m", "v")
+    j = each.join(t, list(by)) if by else each.crossJoin(F.broadcast(t))
+    s = j.groupBy(*by, "n", "k").agg(F.sum(F.col("ng") * (F.col("m") - F.col("mean")) ** 2).alias("b"), F.sum(F.col("ng") * F.col("v")).alias("w"))
+    return s.select(*by, F.try_divide(F.col("b") / (F.col("k") - 1), F.col("w") / (F.col("n") - F.col("k"))).alias("f"), "n", "k")
+
+
+def boyce(df: DataFrame, score: str, presence: str, bins: int = 10, width: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., centre, pe): predicted over expected share in moving windows over [0, 1]; windows without background go."""
     centres = [width / 2 + i * (1 - width) / (bins - 1) for i in range(bins)]
     inside = [(F.col(score) >= c - width / 2) & (F.col(score) <= c + width / 2) for c in centres]
-    row = df.where(F.col(score).isNotNull()).agg(F.count("*").alias("n"), F.sum(F.col(presence).cast("long")).alias("p"), *[F.sum(x.cast("long")).alias(f"b{i}") for i, x in enumerate(inside)], *[F.sum((x & (F.col(presence) == 1)).cast("long")).alias(f"p{i}") for i, x in enumerate(inside)])
+    row = df.where(F.col(score).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(presence).cast("long")).alias("p"), *[F.sum(x.cast("long")).alias(f"b{i}") for i, x in enumerate(inside)], *[F.sum((x & (F.col(presence) == 1)).cast("long")).alias(f"p{i}") for i, x in enumerate(inside)])
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("centre"), F.col(f"b{i}").alias("b"), F.col(f"p{i}").alias("q")) for i, c in enumerate(centres)])).alias("x")
-    return row.select("n", "p", each).where("x.b > 0").select("x.centre", ((F.col("x.q") / F.col("p")) / (F.col("x.b") / F.col("n"))).alias("pe"))
+    return row.select(*by, "n", "p", each).where("x.b > 0").select(*by, "x.centre", F.try_divide(F.try_divide("x.q", "p"), F.col("x.b") / F.col("n")).alias("pe"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -158,9 +160,9 @@ def gradient(df: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
     return g.crossJoin(F.broadcast(one)).where(F.col("_all") >= bins).drop("_all")
 
 
-def boyce_index(df: DataFrame, score: str, presence: str, bins: int = 10, width: float = 0.1) -> DataFrame:
-    """(boyce, n): rank correlation of the windows' centres with their ratios."""
-    return spearman(boyce(df, score, presence, bins, width), "centre", "pe").select(F.col("rho").alias("boyce"), "n")
+def boyce_index(df: DataFrame, score: str, presence: str, bins: int = 10, width: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., boyce, n): rank correlation of the windows' centres with their ratios."""
+    return spearman(boyce(df, score, presence, bins, width, by), "centre", "pe", by).select(*by, F.col("rho").alias("boyce"), "n")
 
 
 def interpolated(table: DataFrame, x: str, y: str, at: float) -> DataFrame:

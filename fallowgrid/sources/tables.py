@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
-import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import lru_cache
 
 from pyspark.errors import AnalysisException
@@ -46,10 +47,43 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], fresh
 
 @lru_cache
 def config(path: str) -> dict:
+    """A JSON or (with PyYAML at hand) YAML file."""
     with open(path, encoding="utf-8") as f:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            return yaml.safe_load(f)
         return json.load(f)
 
 
+_ENTRY = re.compile(r"""( *)((?:"[^"]*"|'[^']*'|[^\s#:'"-][^:#]*)):([ \t]*)("[^"]*"|'[^']*'|[^#\n]*?)([ \t]*(?:#.*)?)\n?""")
+
+
+def rewritten(text: str, changes: Mapping[tuple[str, ...], object]) -> str:
+    """YAML block mappings with the scalars at the given paths replaced; comments, order and layout stay.
+
+    A key that its mapping lacks becomes its first entry; a path without its mapping is an error.
+    """
+    lines, left, path, seen = text.splitlines(keepends=True), dict(changes), [], {}
+    for at, line in enumerate(lines):
+        if not (m := _ENTRY.fullmatch(line)):
+            continue
+        indent = len(m[1])
+        while path and path[-1][0] >= indent:
+            path.pop()
+        path.append((indent, m[2].strip("\"'")))
+        key = tuple(k for _, k in path)
+        seen[key] = (at, indent)
+        if key in left:
+            lines[at] = f"{m[1]}{m[2]}:{m[3] or ' '}{json.dumps(left.pop(key), ensure_ascii=False)}{m[5]}\n"
+    for key, value in sorted(left.items(), key=lambda x: -seen.get(x[0][:-1], (0, 0))[0]):
+        if key[:-1] not in seen:
+            raise KeyError(f"no mapping {'.'.join(key[:-1])}")
+        at, indent = seen[key[:-1]]
+        lines[at] = lines[at].rstrip("\n") + f"\n{' ' * (indent + 2)}{key[-1]}: {json.dumps(value, ensure_ascii=False)}\n"
+    return "".join(lines)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file: for report tables of a few rows only."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)

@@ -59,8 +59,15 @@ def test_anchored_weights():
     assert m[0, 1] == 2 and m[1, 2] == 5 and m[2, 0] == pytest.approx(1 / 7) and np.allclose(m * m.T, 1)
     bands_, m, moves = ahp.revise_bands([2, 1, 4], [(1, 2), (1, 3), (3, 4)], [0.75, 0.25, None], ["s", "s", None])
     assert ahp.consistency_ratio(m) <= 0.1 and 0 < len(moves) <= 3 and all(a <= b <= c for b, (a, c) in zip(bands_, [(1, 2), (1, 3), (3, 4)], strict=True))
+    # of all allowed bands only (1, 3, 3) is consistent, and it is three moves away
+    case = ([1, 1, 4], [(1, 2), (1, 3), (3, 4)], [0.9, 0.1, None], ["s", "s", None])
+    assert ahp.revise_bands(*case)[0] == [1, 3, 3]
     with pytest.raises(ValueError):
-        ahp.revise_bands([1, 1, 4], [(1, 2), (1, 3), (3, 4)], [0.9, 0.1, None], ["s", "s", None])
+        ahp.revise_bands(*case, most=2)
+    with pytest.raises(ValueError):
+        ahp.revise_bands([1, 1, 4], [(1, 1), (1, 1), (4, 4)], *case[2:])
+    # a free factor of the worst pair moves before a ranked one
+    assert {f for f, _ in ahp.revise_bands([1, 1, 4], [(1, 2), (1, 4), (3, 4)], *case[2:])[2][:1]} == {1}
     assert ahp.drifted([0.5, 0.5], [0.5, 0.5001]) == [1]
 
 
