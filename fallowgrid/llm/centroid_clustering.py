@@ -4,9 +4,10 @@ A vector's components become floor(scale * x).  Lloyd rounds start from the vect
 their ids; a round replaces every centroid that has vectors by their componentwise floor(sum / count), in exact integers.
 
 Search: dimensions are worked on in the order of their variance over all vectors, highest first.  The first of them are
-summed for every centroid; the one that leads there is measured in full and is the best so far.  Each further slice of
-dimensions is added only for the centroids whose partial sum isn't yet strictly above it; those left after
-the last have their full distances, and the least of them with the smallest number is taken.
+summed for every centroid; the one that leads there is measured in full and is the best so far.  Slice by slice the further
+dimensions are added, and a centroid is abandoned once its partial sum is strictly above the best; those left after
+the last have their full distances, and the least of them with the smallest number is taken.  While most pairs of a block are
+left, a slice is added for the whole block, as that costs less than picking them.
 
 Every round is one scan that ships counts and sums per task, so what moves is centroids times dimensions times tasks;
 the driver holds centroids only.  No vector is shuffled or stored.
@@ -33,34 +34,49 @@ from .integer_vectors import integers
 
 SIZE, SCALE, K, ROUNDS = 64, 256.0, 40, 5
 #: Dimensions summed for every centroid at first, then slice by slice for those left; vectors worked on at once.
-FIRST, SLICE, ROWS = 16, 12, 2048
+FIRST, SLICE, ROWS = 16, 8, 2048
+#: Share of pairs below the best from which a slice is added densely.
+DENSE = 0.15
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number, squared distance) of the nearest centroid of each row; of equally near ones the smallest number."""
     x, c = x[:, order], centroids[:, order]
-    part = np.zeros((len(x), len(c)), np.int64)
-    for d in range(min(FIRST, x.shape[1])):
-        gap = x[:, d, None] - c[None, :, d]
-        part += gap * gap
-    lead = part.argmin(1)
-    every = np.arange(len(x))
-    rest = x[:, FIRST:] - c[lead, FIRST:]
-    best = part[every, lead] + (rest * rest).sum(1)
-    part[every, lead] = np.iinfo(np.int64).max  # measured already
-    i, j = np.nonzero(part <= best[:, None])
-    sums = part[i, j]
-    for a in range(FIRST, x.shape[1], SLICE):
+    size = x.shape[1]
+    most = max(int(np.abs(x).max(initial=0)), int(np.abs(c).max(initial=0)))
+    kind = np.int32 if size * (2 * most) ** 2 < 2**31 else np.int64
+    x, c = x.astype(kind), c.astype(kind)
+    across, down = np.ascontiguousarray(x.T), np.ascontiguousarray(c.T)
+    sums = np.zeros((len(x), len(c)), kind)
+
+    def add(a: int, b: int) -> None:
+        for d in range(a, b):
+            gap = across[d][:, None] - down[d][None]
+            gap *= gap
+            np.add(sums, gap, out=sums)
+
+    at = min(FIRST, size)
+    add(0, at)
+    lead = sums.argmin(1)
+    gap = x - c[lead]
+    best = (gap * gap).sum(1, dtype=kind)
+    # while most pairs are below the best, a slice is added for all of them; then pair by pair
+    while at < size and (left := sums <= best[:, None]).sum() > DENSE * left.size:
+        add(at, min(at + SLICE, size))
+        at = min(at + SLICE, size)
+    i, j = np.nonzero(sums <= best[:, None])
+    far = sums[i, j]
+    for a in range(at, size, SLICE):
         gap = x[i, a : a + SLICE] - c[j, a : a + SLICE]
-        sums = sums + (gap * gap).sum(1)
-        left = sums <= best[i]
-        i, j, sums = i[left], j[left], sums[left]
+        far = far + (gap * gap).sum(1, dtype=kind)
+        left = far <= best[i]
+        i, j, far = i[left], j[left], far[left]
     least = best.copy()
-    np.minimum.at(least, i, sums)
+    np.minimum.at(least, i, far)
     who = np.where(best == least, lead, len(c))
-    tied = sums == least[i]
+    tied = far == least[i]
     np.minimum.at(who, i[tied], j[tied])
-    return who, least
+    return who, least.astype(np.int64)
 
 
 def _matrices(batches: Iterator[pa.RecordBatch], size: int, scale: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
