@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, drop_stored, mix, stored
 
-SIZES, RATE, SHARE, HASHES, SLOTS_PER_KEY = (2, 3, 4, 5), 2e-5, 0.3, 3, 16
+SIZES, RATE, SHARE, HASHES, SLOTS_PER_KEY = (3, 4), 2e-5, 0.3, 2, 16
 #: Characters worked on at once; distinct n-grams that a task holds before it ships them.
-PIECE, HELD = 1 << 20, 1 << 20
+PIECE, HELD = 1 << 17, 1 << 20
 _BLANK = 32
 
 
@@ -44,8 +44,8 @@ def held_out(id: str = "doc_id") -> Column:
 
 
 def letters() -> np.ndarray:
-    """Whether each code point is a letter."""
-    return np.array([chr(i).isalpha() for i in range(0x110000)], bool)
+    """Whether each code point is a letter (planes beyond 3 hold none)."""
+    return np.concatenate([np.fromiter(map(str.isalpha, map(chr, range(0x40000))), bool, 0x40000), np.zeros(0xD0000, bool)])
 
 
 def _pieces(col: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -57,7 +57,7 @@ def _pieces(col: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.nd
     ends = np.cumsum(size + 2)
     at = 0
     while at < len(col):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        end = min(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right"))), at + 4096)
         texts = pc.utf8_lower(pc.fill_null(col.slice(at, end - at), "")).to_pylist()
         codes = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le"), np.uint32)
         number = np.repeat(np.arange(at, end), [len(t) + 2 for t in texts])
@@ -69,9 +69,9 @@ def _pieces(col: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.nd
 def grams(codes: np.ndarray, number: np.ndarray, starts: int, is_letter: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(size, hashes, text of each) of the n-grams that start in the first `starts` places."""
     word = is_letter[codes]
-    x = np.where(word, codes, _BLANK).astype(U64)
-    x = mix(x + U64(1))
-    letters_before = np.concatenate([[0], np.cumsum(word)])
+    x = np.where(word, codes, _BLANK).astype(U64) * U64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> U64(29)
+    letters_before = np.concatenate([[0], np.cumsum(word, dtype=np.int32)])
     h = np.zeros(len(x), U64)
     done = 0
     for n in sorted(SIZES):
@@ -82,15 +82,11 @@ def grams(codes: np.ndarray, number: np.ndarray, starts: int, is_letter: np.ndar
             done += 1
         m = len(h)
         inner = letters_before[n - 1 : n - 1 + m] - letters_before[1 : 1 + m]
-        fine = (inner == n - 2) & (word[:m] | word[n - 1 : n - 1 + m]) & (number[:m] == number[n - 1 : n - 1 + m])
+        fine = (inner == n - 2) & (letters_before[n : n + m] > letters_before[:m]) & (number[:m] == number[n - 1 : n - 1 + m])
         fine[starts:] = False
         yield n, mix(h[fine] + U64(n)), number[:m][fine]
 
 
-def _add(held: list, h: np.ndarray, n: np.ndarray) -> None:
-    held.append((h, n))
-
-
 def counts(documents: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, size, gram, n) over all rows."""
 
@@ -159,10 +155,10 @@ class Filter:
 
 
 def _slots(h: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """HASHES slots of each n-gram, by double hashing."""
-    step = mix(h) | U64(1)
+    """HASHES slots of each n-gram, by double hashing with the halves of the hash."""
+    step = (h >> U64(32)) | U64(1)
     for i in range(HASHES):
-        yield ((h + U64(i) * step) >> U64(20) & U64(n - 1)).astype(np.int64)
+        yield ((h + U64(i) * step) & U64(n - 1)).view(np.int64)
 
 
 def learn(documents: DataFrame, *, lang: str = "lang", text: str = "text", rate: float = RATE, share: float = SHARE) -> Filter:
@@ -194,8 +190,8 @@ def predict(documents: DataFrame, model: Filter, *, keep: tuple[str, ...] = ("do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter = letters()
-        bits = np.arange(len(languages))
-        rank = np.lexsort((bits, -model.rows))
+        per_bit = np.arange(256)[:, None] >> np.arange(8)[None] & 1
+        rank = np.lexsort((np.arange(len(languages)), -model.rows))
         for batch in batches:
             n = batch.num_rows
             hits, total, any_letter = np.zeros((n, len(languages))), np.zeros(n), np.zeros(n, bool)
@@ -204,10 +200,14 @@ def predict(documents: DataFrame, model: Filter, *, keep: tuple[str, ...] = ("do
                 for _, h, of in grams(codes, number, b - a, is_letter):
                     if not len(h):
                         continue
-                    total += np.bincount(of, minlength=n)
+                    low, high = int(of[0]), int(of[-1]) + 1
                     mask = model.masks(h)
-                    for k in range(len(languages)):
-                        hits[:, k] += np.bincount(of, mask[:, k // 8] >> (k % 8) & 1, n)
+                    for part in range(mask.shape[1]):
+                        # how often each mask comes in each text, then the bits of the masks
+                        tally = np.bincount((of - low) << 8 | mask[:, part], minlength=(high - low) << 8).reshape(-1, 256)
+                        hits[low:high, 8 * part : 8 * part + 8] += tally @ per_bit[:, : len(languages) - 8 * part]
+                        if not part:
+                            total[low:high] += tally.sum(1)
             value = np.maximum((hits - model.false * total[:, None]) / np.maximum(1 - model.false, 1e-9), 0) / np.maximum(model.coverage, 1e-9)
             every = value.sum(1)
             if len(languages):

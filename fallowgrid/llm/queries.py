@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, license_scan, pu_classifier, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, warc
+from . import centroid_clustering, chat_format, decontaminate, hard_negatives, jaccard_join, language_id, license_scan, pu_classifier, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, warc
 from .common import table
 
 
@@ -58,9 +58,60 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents, rules, ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_chat_formatting, op4_sentencepiece, op5_decontamination, op6_jaccard_join, op7_warc, op8_license_scan, op9_quality_classifier, op10_quality_rules)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return centroid_clustering.assign(vectors, centroid_clustering.fit(vectors))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, relabel=relabel)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.learn(documents.where(~language_id.held_out()))
+    return language_id.predict(documents, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_chat_formatting, op4_sentencepiece, op5_decontamination, op6_jaccard_join, op7_warc, op8_license_scan, op9_quality_classifier, op10_quality_rules, op11_centroid_clustering, op12_hard_negatives, op13_language_id)}
+
+def _rounds(rounds: int) -> str:
+    """Common tables of the clustering's rounds: a0, c1, a1, c2 .. (assignment and centroids)."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v, n.c, n.d FROM (
+  SELECT k.vec_id, k.v, min({{'d': (k.q - 2 * list_dot_product(k.v, m.v) + m.q)::BIGINT, 'c': m.c}}) AS n
+  FROM kept k CROSS JOIN c{r} m GROUP BY ALL))""")
+        if r < rounds:
+            out.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, v, list_dot_product(v, v) AS q FROM (
+  SELECT m.c, coalesce(s.v, m.v) AS v FROM c{r} m LEFT JOIN (
+    SELECT c, list(floor((t - ((t % n) + n) % n) / n)::DOUBLE ORDER BY i) AS v FROM (
+      SELECT c, i, sum(v[i]::HUGEINT) AS t, count(*) AS n FROM a{r}, range(1, 65) g(i) GROUP BY c, i) GROUP BY c) s ON m.c = s.c))""")
+    return ",\n".join(out)
+
 
 ORACLE = {
+    "op11_centroid_clustering": f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, v, list_dot_product(v, v) AS q FROM (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v, q FROM (SELECT *, sha256('2:' || vec_id) AS h FROM kept) ORDER BY h, v LIMIT 40),
+{_rounds(5)},
+f AS (SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a5 GROUP BY c)
+SELECT vec_id, a5.c::INTEGER AS cluster, d AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM a5) AS inertia,
+  sha256(array_to_string(list_transform(m.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a5 JOIN f ON a5.c = f.c JOIN c5 m ON a5.c = m.c""",
+    "op12_hard_negatives": """
+WITH r AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER w)::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 3""",
     "op3_chat_formatting": r"""
 WITH talk AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
