@@ -71,14 +71,13 @@ def holdout(df: DataFrame, split: str, columns: Sequence[str], ks: Sequence[int]
 
 
 def match_centroids(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, float]]:
-    """(row of a, row of b, distance): rows of a in order, each takes the nearest row of b that is left."""
-    free = np.linalg.norm(np.asarray(a)[:, None] - np.asarray(b)[None], axis=2)
-    out = []
-    for i, row in enumerate(free):
-        j = int(row.argmin())
-        out.append((i, j, float(row[j])))
-        free[:, j] = np.inf
-    return out
+    """(row of a, row of b, distance), in the order of a: the nearest pair of all first, then the nearest of what is left."""
+    pairs = sorted((float(np.linalg.norm(x - y)), i, j) for i, x in enumerate(np.asarray(a)) for j, y in enumerate(np.asarray(b)))
+    out: dict[int, tuple[int, float]] = {}
+    for far, i, j in pairs:
+        if i not in out and j not in {k for k, _ in out.values()}:
+            out[i] = (j, far)
+    return [(i, *out[i]) for i in sorted(out)]
 
 
 def compare_samples(first: DataFrame, second: DataFrame, third: DataFrame, columns: Sequence[str], k: int, seed: int = 42) -> tuple[float, list[tuple[int, int, float]]]:
