@@ -2,7 +2,8 @@
 
 `union_rings` takes polygons (rings by the even-odd rule, as `sources.vectors` reads them) and gives the rings of the union of each group.
 
-1. Corners become whole multiples of `grid`, so that equal points are equal keys.  Edges of a group that meet are found strip by strip: strips
+1. Corners become whole multiples of `grid`, so that equal points are equal keys.  Corners within one such unit of an edge count as lying on it, so
+   `grid` must be far finer than the data.  Edges of a group that meet are found strip by strip: strips
    are bounded by quantiles of the edges' middles, so that each holds about `per_strip` edges however they are spread.
 2. The points where others meet an edge (crossings, and corners lying on it) cut it into pieces; equal pieces are one row, with the polygons
    that have it an odd number of times.

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.membership import argmax_index
+from .sampling import order_key
 
 
 def theme_weights(columns: Sequence[str]) -> list[float]:
@@ -58,9 +59,38 @@ def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, order_by: str, res
     return labelled.withColumn("zone", zone.cast("int")).drop("_v", "_z"), [best.clusterCenters()[z].tolist() for z in rank]
 
 
-def silhouette(df: DataFrame, columns: Sequence[str], zone: str = "zone") -> float:
-    v = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df)
-    return ClusteringEvaluator(featuresCol="_v", predictionCol=zone, distanceMeasure="squaredEuclidean").evaluate(v)
+def silhouette(df: DataFrame, columns: Sequence[str], zone: str = "zone", most: int = 5000, key: str | None = None, seed: int = 42) -> float:
+    """Mean silhouette by Euclidean distance in the space of `columns`, which needn't be the one that was clustered.
+
+    Over all rows up to `most`, else over a sample of that size (by hashes of `key`, or of the columns).  Every row needs its distances to all
+    others, so the sample, `most` rows at the highest, goes to the tasks, which work block by block.  Rows with a null are left out; a row
+    alone in its zone has 0; fewer than two zones give nan.
+    """
+    d = df.select(F.col(zone).alias("_zone"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)], order_key(F.col(key) if key else F.xxhash64(*columns), seed).alias("_order")).dropna()
+    sample = d.orderBy("_order", *[f"_{i}" for i in range(len(columns))]).limit(most).drop("_order").toPandas()
+    codes, names = pd.factorize(sample["_zone"])
+    if len(names) < 2:
+        return float("nan")
+    x = sample.drop(columns="_zone").to_numpy(float)
+    member = (codes[:, None] == np.arange(len(names))[None]).astype(float)
+    size = member.sum(0)
+
+    def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            total = 0.0
+            for at in np.array_split(batch["id"].to_numpy(), -(-len(batch) // 256)):
+                far = np.sqrt(np.maximum(((x[at][:, None] - x[None]) ** 2).sum(2), 0)) @ member
+                own = codes[at]
+                alone = size[own] < 2
+                inner = far[np.arange(len(at)), own] / np.maximum(size[own] - 1, 1)
+                mean = far / size
+                mean[np.arange(len(at)), own] = np.inf
+                outer = mean.min(1)
+                total += float(np.where(alone, 0.0, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300)).sum())
+            yield pd.DataFrame({"total": [total]})
+
+    got = df.sparkSession.range(0, len(x), 1, max(1, len(x) // 512)).mapInPandas(widths, "total double").agg(F.sum("total")).first()[0]
+    return float(got / len(x))
 
 
 def davies_bouldin(df: DataFrame, columns: Sequence[str], zone: str = "zone") -> float:
@@ -108,3 +138,25 @@ def embedding_columns(n: int, column: str = "embedding") -> list[Column]:
     return [F.col(column)[i].cast("double") for i in range(n)]
 
 
+
+
+def compare_spaces(df: DataFrame, spaces: dict[str, tuple[Sequence[str], bool]], zone: str, keep: float = 0.9, most: int = 3000, key: str | None = None) -> DataFrame:
+    """(space, component, share, low, high, needed, silhouette): how given zones separate on the first three components of several sets of bands.
+
+    A space is (columns, whether bands weigh 1 / sqrt(bands of their theme)); `low` and `high` are the 2nd and 98th percentiles of the scores,
+    `needed` the components that hold `keep` of the variance, and the silhouette that of `zone` on the three scores.
+    """
+    out = None
+    for name, (columns, themed) in spaces.items():
+        weights = theme_weights(columns) if themed else [1.0] * len(columns)
+        scaled = df.select(zone, *([key] if key else []), *[(F.col(c) * w).alias(f"_w{i}") for i, (c, w) in enumerate(zip(columns, weights, strict=True))])
+        own = [f"_w{i}" for i in range(len(columns))]
+        loadings, means, share = fit_pca(scaled, own, 1.0)
+        n = min(3, len(loadings))
+        scored = scaled.select(zone, *([key] if key else []), *[c.alias(f"_pc{i}") for i, c in enumerate(scores([F.col(c) for c in own], loadings[:n], means))])
+        needed = int(np.searchsorted(np.cumsum(share), keep) + 1)
+        width = silhouette(scored, [f"_pc{i}" for i in range(n)], zone, most, key)
+        ends = scored.agg(*[F.percentile(f"_pc{i}", q).alias(f"{end}{i}") for i in range(n) for end, q in (("a", 0.02), ("b", 0.98))])
+        rows = ends.select(F.explode(F.array(*[F.struct(F.lit(name).alias("space"), F.lit(i + 1).alias("component"), F.lit(float(share[i])).alias("share"), F.col(f"a{i}").alias("low"), F.col(f"b{i}").alias("high"), F.lit(needed).alias("needed"), F.lit(width).alias("silhouette")) for i in range(n)])).alias("r")).select("r.*")
+        out = rows if out is None else out.union(rows)
+    return out
