@@ -43,7 +43,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("templates")
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
