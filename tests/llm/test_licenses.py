@@ -74,7 +74,7 @@ def test_a_long_text_of_notices_takes_linear_time(spark):
 
 
 def test_whole_texts_are_found_with_their_places(spark):
-    rows, filler = [], "one two three four five six seven eight nine ten " * 40
+    rows, filler = [], "uno dos tres cuatro cinco seis siete ocho nueve diez " * 40
     for i, (name, text) in enumerate(WHOLE.items()):
         rows.append((i, filler + text.replace("software", "program") + " " + filler + text))
     rows += [(None, filler), (50, None), (51, ""), (60, "mit license"), (60, "mit license")]
