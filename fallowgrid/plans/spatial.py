@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import projections
-from ..operators import overlay, proximity, zoning
-from ..sources.tables import table
+from ..functions.membership import quantize
+from ..operators import overlay, proximity, tiles, zoning
+from ..sources import tile_archive
+from ..sources.tables import shared_dir, table
 from .analytics import _C as _CENTRES
 from .analytics import _grid
 from .features import _C
@@ -120,7 +124,28 @@ def space_comparison(spark, d):
     return zoning.compare_spaces(x, {"full": (names, False), "curated": (names[:5], True)}, "zone", key="vec_id")
 
 
+def tile_levels(spark, d):
+    """A quantised band as an archive of tiles, read back: pixels and their sum by level and tile."""
+    tile_archive.register(spark)
+    path = f"{shared_dir(spark)}/fallowgrid/tiles-{uuid.uuid4().hex}"
+    cells = _grid(spark, d).select("gx", "gy", quantize(F.col("v").cast("double"), 0.0, 51.0).cast("int").alias("v"))
+    made = tiles.pyramid(cells, "v", 3, -62.3, -1.7, 0.5, tiles.ramp([(68, 1, 84), (33, 145, 140), (253, 231, 37)]), lowest=1)
+    made.repartitionByRange("id").sortWithinPartitions("id").write.format("tile_archive").mode("overwrite").save(path)
+    v = tiles.read_values(spark.read.format("tile_archive").load(path))
+    return v.groupBy("z", F.floor(F.col("px") / 256).cast("int").alias("x"), F.floor(F.col("py") / 256).cast("int").alias("y")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+_UP = "SELECT px // 2 AS px, py // 2 AS py, ((2 * sum(value) + count(*)) // (2 * count(*)))::INT AS value FROM {} GROUP BY 1, 2"
+TILES_SQL = f"""
+WITH {_C}, q AS (SELECT gx, gy, round(greatest(0, least(1, v / 51.0)) * 254)::INT AS value FROM c),
+x AS (SELECT i AS px, floor(((i + 0.5) * (360 / 2048.0::DOUBLE) - 180 + 62.3) / 0.5)::INT AS gx FROM range(2048) t(i)),
+y AS (SELECT i AS py, floor((-1.7 - degrees(atan(sinh(pi() * (1 - (i + 0.5) * (2 / 2048.0::DOUBLE)))))) / 0.5)::INT AS gy FROM range(2048) t(i)),
+l3 AS (SELECT px, py, value FROM q JOIN x USING (gx) JOIN y USING (gy)), l2 AS ({_UP.format("l3")}), l1 AS ({_UP.format("l2")}),
+a AS (SELECT 3 AS z, * FROM l3 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 1, * FROM l1)
+SELECT z::INT AS z, (px // 256)::INT AS x, (py // 256)::INT AS y, count(*) AS n, sum(value)::BIGINT AS total FROM a GROUP BY 1, 2, 3"""
+
 QUERIES = {
+    "tile_levels": (tile_levels, TILES_SQL),
     "union_area": (union_area, UNION_SQL),
     "projected_points": (projected_points, _projected_sql()),
     "conservation_bands": (conservation_bands, CONSERVATION_SQL),
