@@ -160,6 +160,27 @@ def gradient(df: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
     return g.crossJoin(F.broadcast(one)).where(F.col("_all") >= bins).drop("_all")
 
 
+def grouped_bins(df: DataFrame, x: str, bins: int, by: Sequence[str], name: str = "bin") -> DataFrame:
+    """`df` with the index of each row's equal-frequency bin of x within its group: the groups' edges are a table that is joined back."""
+    inner = percentiles(df, x, [i / bins for i in range(1, bins)], by)
+    ends = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.min(x).cast("double").alias("_least"), F.max(x).cast("double").alias("_most"))
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
+    edges = inner.alias("i").join(ends.alias("e"), same).select(*[F.col(f"i.{c}").alias(c) for c in by], F.filter(F.array_distinct(F.array(*[F.col(f"p{i}") for i in range(bins - 1)])), lambda e: (e > F.col("_least")) & (e < F.col("_most"))).alias("_edges"))
+    out = df.alias("d").join(edges.alias("e"), [F.col(f"d.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by], "left").select("d.*", "_edges")
+    return out.withColumn(name, F.when(F.col(x).isNotNull(), F.size(F.filter("_edges", lambda e: e < F.col(x))))).drop("_edges")
+
+
+def gradients(df: DataFrame, x: str, y: str, by: Sequence[str], bins: int = 5, least: int = 50) -> tuple[DataFrame, DataFrame]:
+    """((by.., bin, n, mean_x, mean_y), (by.., rho, n, monotonic)) of every group with at least `least` rows that have both values; rows without a group go."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).dropna(subset=list(by))
+    g = grouped_bins(both, x, bins, by).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"))
+    rise = g.withColumn("_d", F.col("mean_y") - F.lag("mean_y").over(Window.partitionBy(*by).orderBy("bin"))).groupBy(*by).agg(F.bool_and(F.col("_d") >= 0).alias("monotonic"))
+    r = spearman(both, x, y, by).where(F.col("n") >= least)
+    whole = r.alias("r").join(rise.alias("m"), [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by]).select("r.*", "monotonic")
+    table = g.alias("g").join(whole.select(*by).alias("w"), [F.col(f"g.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by], "left_semi")
+    return table, whole
+
+
 def boyce_index(df: DataFrame, score: str, presence: str, bins: int = 10, width: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
     """(by.., boyce, n): rank correlation of the windows' centres with their ratios."""
     return spearman(boyce(df, score, presence, bins, width, by), "centre", "pe", by).select(*by, F.col("rho").alias("boyce"), "n")

@@ -43,6 +43,16 @@ def presence(cells: DataFrame, split: str, scores: Mapping[str, tuple[str, objec
     return _record(enough, "auc", "auc").unionByName(_record(b, "boyce", "boyce")).unionByName(_record(few, "presence_underpowered", "none"))
 
 
+def within_crop(cells: DataFrame, split: str, scores: Mapping[str, tuple[str, object]], role: str, proxy: str, bins: int = 5, least: int = 50) -> DataFrame:
+    """Rank correlation of every segment's score with the proxy over the cells of its own role, by half, with whether the proxy's mean
+    never falls from bin to bin of the score: all segments and halves in the same pass; halves under `least` cells have no row."""
+    each = F.explode(F.array(*[F.when(F.col(role) == code, F.struct(F.lit(name).alias("segment"), F.col(score).alias("s"))) for name, (score, code) in scores.items()])).alias("x")
+    long = halves(cells, split).select("half", F.col(proxy).alias("y"), each).where("x IS NOT NULL").select("half", "y", "x.*")
+    _, r = stats.gradients(long, "s", "y", ["segment", "half"], bins, least)
+    rows = _record(r, "within_crop_rho", "rho", correlation_p(F.col("rho"), F.col("n")))
+    return rows.join(r.select("segment", "half", "monotonic"), ["segment", "half"]).select(*COLUMNS, "monotonic")
+
+
 def zone_variance(cells: DataFrame, zone: str, value: str, split: str) -> DataFrame:
     """The variance ratio across zones in each half that has two zones or more."""
     a = stats.anova(halves(cells, split), value, zone, ["half"]).where("k >= 2")

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import projections
 from ..functions.membership import quantize
-from ..operators import overlay, proximity, tiles, zoning
+from ..operators import blocks, overlay, proximity, suites, tiles, zoning
 from ..sources import tile_archive
 from ..sources.tables import shared_dir, table
 from .analytics import _C as _CENTRES
 from .analytics import _grid
 from .features import _C
+from .reporting import HALF, RHO_P, _split
 
 
 def _ring(*corners):
@@ -144,7 +145,60 @@ l3 AS (SELECT px, py, value FROM q JOIN x USING (gx) JOIN y USING (gy)), l2 AS (
 a AS (SELECT 3 AS z, * FROM l3 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 1, * FROM l1)
 SELECT z::INT AS z, (px // 256)::INT AS x, (py // 256)::INT AS y, count(*) AS n, sum(value)::BIGINT AS total FROM a GROUP BY 1, 2, 3"""
 
+def block_sizing(spark, d):
+    """Semivariograms of a score, its presence and their difference over great-circle lags, and what they say about blocks."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    p = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (e(0) * 8 - 51).alias("lon"), (e(1) * 20 - 16).alias("lat"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + 2 * e(0))).alias("s"), (F.col("label") < 3).cast("double").alias("y"))
+    r, gate = blocks.block_sizing(p, {"crop": ("s", "y")}, 12, 2000, (100.0, 250.0), 10)
+    return r.select("framing", "window", *[F.round(c, 6).alias(c) for c in ("block", "sill", "nugget_share", "range", "shared")], "verdict", F.lit(gate).alias("gate"))
+
+
+_FRAMES = ("fit", "presence", "residual")
+BLOCKS_SQL = f"""
+WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 8 - 51 AS lon, embedding[2]::DOUBLE * 20 - 16 AS lat, greatest(0, least(1, 0.5 + 2 * embedding[1]::DOUBLE)) AS s, (label < 3)::INT::DOUBLE AS y FROM embeddings),
+k AS (SELECT (max(lon) - min(lon)) * 111.0 * cos(radians((max(lat) + min(lat)) / 2)) / 12 AS block FROM p),
+d AS (SELECT 2 * 6371.0 * asin(sqrt(least(1, sin(radians(a.lat - b.lat) / 2) ^ 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(a.lon - b.lon) / 2) ^ 2))) AS h,
+  (a.s - b.s) ^ 2 AS fit, (a.y - b.y) ^ 2 AS presence, (a.y - a.s - b.y + b.s) ^ 2 AS residual FROM p a JOIN p b ON a.id < b.id),
+w AS (SELECT unnest([100.0, 250.0])::DOUBLE AS w), f AS (SELECT unnest(['fit', 'presence', 'residual']) AS framing),
+l AS (SELECT w, (ceil(h / (w / 10)) - 1)::INT AS bin, framing, CASE framing WHEN 'fit' THEN fit WHEN 'presence' THEN presence ELSE residual END AS g FROM d, w, f WHERE h > 0 AND h <= w),
+t AS (SELECT w, framing, bin, sum(g) / (2 * count(*)) AS gamma FROM l GROUP BY 1, 2, 3),
+e AS (SELECT w, framing, i::INT AS bin, (i + 0.5) * w / 10 AS centre, gamma, max(gamma) OVER (PARTITION BY w, framing ORDER BY i) AS env FROM w CROSS JOIN f CROSS JOIN range(10) r(i) LEFT JOIN t USING (w, framing) WHERE t.bin = i OR t.bin IS NULL),
+g AS (SELECT w, framing, avg(env) FILTER (bin >= 8) AS sill, arg_min(gamma, bin) FILTER (gamma IS NOT NULL) AS nugget, max(env) AS top FROM e GROUP BY 1, 2),
+r AS (SELECT g.w, g.framing, sill, nugget, block, (SELECT min(centre) FROM e WHERE e.w = g.w AND e.framing = g.framing AND gamma IS NOT NULL AND env >= 0.95 * sill AND top <= 1.05 * sill) AS range,
+  (SELECT max(centre) FROM e WHERE e.w = g.w AND e.framing = g.framing AND centre <= block) AS c0, (SELECT min(centre) FROM e WHERE e.w = g.w AND e.framing = g.framing AND centre >= block) AS c1 FROM g, k),
+a AS (SELECT r.*, x.gamma AS g0, y.gamma AS g1 FROM r LEFT JOIN e x ON x.w = r.w AND x.framing = r.framing AND x.centre = c0 LEFT JOIN e y ON y.w = r.w AND y.framing = r.framing AND y.centre = c1),
+b AS (SELECT *, CASE WHEN c0 IS NULL THEN g1 WHEN c1 IS NULL OR c0 = c1 THEN g0 ELSE g0 + (g1 - g0) * (block - c0) / (c1 - c0) END AS here FROM a),
+v AS (SELECT framing, w, block, sill, nugget / sill AS nugget_share, range, CASE WHEN sill > nugget THEN greatest(0, least(1, (sill - here) / (sill - nugget))) END AS shared FROM b),
+z AS (SELECT max(range) AS worst FROM v WHERE framing = 'residual' AND w = 100)
+SELECT framing, w AS "window", round(v.block, 6) AS block, round(sill, 6) AS sill, round(nugget_share, 6) AS nugget_share, round(range, 6) AS range, round(shared, 6) AS shared,
+  CASE WHEN nugget_share > 0.95 THEN 'uninterpretable' WHEN framing = 'fit' THEN 'context only' WHEN range IS NULL THEN 'no plateau in window' WHEN range < v.block THEN 'ok' WHEN range < 2 * v.block THEN 'caveat' ELSE 'fail' END AS verdict,
+  CASE WHEN worst IS NULL OR worst >= 2 * v.block THEN 'no-go' WHEN worst < v.block THEN 'go' ELSE 'caveat' END AS gate FROM v, z"""
+
+
+def crop_gradients(spark, d):
+    """The score against the proxy inside each segment's own cells, by segment and half."""
+    x = _split(spark, d).select("split", (F.col("l_quantity") / 50).alias("a"), (F.col("l_extendedprice") / 110000).alias("b"), F.col("l_returnflag").alias("role"), (F.col("l_extendedprice") * F.col("l_tax")).alias("gpp"))
+    r = suites.within_crop(x, "split", {"alpha": ("a", "R"), "beta": ("b", "A"), "none": ("a", "X")}, "role", "gpp")
+    return r.select("metric", "segment", "half", F.round("value", 6).alias("value"), "n", F.round("p", 5).alias("p"), "monotonic")
+
+
+def _ranked(v: str) -> str:
+    return f"rank() OVER (PARTITION BY segment, half ORDER BY {v}) + (count(*) OVER (PARTITION BY segment, half, {v}) - 1) / 2.0"
+
+
+GRADIENTS_SQL = f"""
+WITH x AS (SELECT {HALF}, 'alpha' AS segment, l_quantity / 50 AS s, l_extendedprice * l_tax AS y FROM lineitem WHERE l_returnflag = 'R'
+  UNION ALL SELECT {HALF}, 'beta', l_extendedprice / 110000, l_extendedprice * l_tax FROM lineitem WHERE l_returnflag = 'A'),
+r AS (SELECT segment, half, {_ranked("s")} AS a, {_ranked("y")} AS b FROM x),
+q AS (SELECT segment, half, round(corr(a, b), 12) AS rho, count(*) AS n FROM r GROUP BY 1, 2),
+e AS (SELECT segment, half, quantile_cont(s, [0.2, 0.4, 0.6, 0.8]) AS e, min(s) AS lo, max(s) AS hi FROM x GROUP BY 1, 2),
+g AS (SELECT segment, half, len(list_filter(list_distinct(e), lambda v: v > lo AND v < hi AND v < s)) AS bin, avg(y) AS m FROM x JOIN e USING (segment, half) GROUP BY 1, 2, 3),
+m AS (SELECT segment, half, bool_and(d >= 0) AS monotonic FROM (SELECT *, m - lag(m) OVER (PARTITION BY segment, half ORDER BY bin) AS d FROM g) GROUP BY 1, 2)
+SELECT 'within_crop_rho' AS metric, segment, half, round(rho, 6) AS value, n, round({RHO_P}, 5) AS p, monotonic FROM q JOIN m USING (segment, half) WHERE n >= 50"""
+
 QUERIES = {
+    "block_sizing": (block_sizing, BLOCKS_SQL),
+    "crop_gradients": (crop_gradients, GRADIENTS_SQL),
     "tile_levels": (tile_levels, TILES_SQL),
     "union_area": (union_area, UNION_SQL),
     "projected_points": (projected_points, _projected_sql()),
