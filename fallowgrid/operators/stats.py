@@ -32,16 +32,33 @@ def _cumulated(counts: DataFrame, by: Sequence[str], value: str, n: str = "n") -
     return local.alias("l").join(totals.alias("t"), same).select("l.*", (F.col("_in") + F.col("_off")).alias("before")).drop("_part", "_in")
 
 
-def percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by.., p0, p1, ..): exact percentiles with linear interpolation, from counts of distinct values and their ranks."""
-    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    ranked = _cumulated(d.groupBy(*by, value).agg(F.count("*").alias("n")), by, value)
-    sizes = ranked.groupBy(*by).agg(F.sum("n").alias("_n"))
-    j = ranked.alias("r").join(sizes.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by] or F.lit(True)).select("r.*", "_n")
-    place = [F.lit(float(p)) * (F.col("_n") - 1) for p in shares]
-    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value).cast("double")))
-    picked = j.groupBy(*by).agg(*[f(h).alias(f"{name}{i}") for i, h in enumerate(place) for name, f in (("_lo", lambda h: at(F.floor(h))), ("_hi", lambda h: at(F.ceil(h))), ("_w", lambda h: F.max(h - F.floor(h))))])
-    return picked.select(*by, *[(F.col(f"_lo{i}") + F.col(f"_w{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"p{i}") for i in range(len(shares))])
+def percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
+    """(by.., p0, p1, ..): exact percentiles with linear interpolation.
+
+    A sketch of every group (one pass, a few kilobytes per group and task) gives two values between which each percentile lies, `4 / accuracy` of
+    the rows apart; a second pass counts the rows below them, and only the rows between are counted by value and ranked.  A sketch that
+    missed its guarantee would leave a rank outside, which is an error, never a wrong value.
+    """
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_v"))
+    eps = 2 / accuracy
+    probes = [x for p in shares for x in (max(0.0, float(p) - eps), min(1.0, float(p) + eps))]
+    ends = d.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", probes, accuracy).alias("_q"))
+    # in small groups a sketch's error and the step to the next rank are of one size: all rows lie between
+    small = F.col("_n") <= 2 * accuracy
+    low = [F.when(F.lit(float(p) <= eps) | small, F.col("_min")).otherwise(F.col("_q")[2 * i]) for i, p in enumerate(shares)]
+    high = [F.when(F.lit(float(p) >= 1 - eps) | small, F.col("_max")).otherwise(F.col("_q")[2 * i + 1]) for i, p in enumerate(shares)]
+    spans = ends.select(*by, "_n", F.array(*[F.struct(F.lit(i).alias("i"), a.alias("a"), b.alias("b")) for i, (a, b) in enumerate(zip(low, high, strict=True))]).alias("_s"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    j = d.alias("d").join(spans.alias("s"), same).select("d.*", "_n", "_s") if by else d.crossJoin(F.broadcast(spans))  # without groups one row
+    # each row once per span it lies in, or below: the rows below are only counted
+    tall = j.select(*by, "_n", "_v", F.explode("_s").alias("x")).where(F.col("_v") <= F.col("x.b"))
+    counts = tall.groupBy(*by, "_n", F.col("x.i").alias("_i"), F.when(F.col("_v") >= F.col("x.a"), F.col("_v")).alias("_w")).agg(F.count("*").alias("n"))
+    # nulls (all rows below the span) come first
+    ranked = _cumulated(counts, [*by, "_i"], "_w")
+    place = F.element_at(F.array(*[F.lit(float(p)) for p in shares]), F.col("_i") + 1) * (F.col("_n") - 1)
+    r = ranked.withColumn("_h", place).groupBy(*by, "_i").agg(*[F.max(F.when(F.col("_w").isNotNull() & (F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("_w"))).alias(c) for c, k in (("_lo", F.floor("_h")), ("_hi", F.ceil("_h")))], F.max(F.col("_h") - F.floor("_h")).alias("_f"))
+    exact = F.when(F.col("_lo").isNotNull() & F.col("_hi").isNotNull(), F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).otherwise(F.raise_error(F.lit("a percentile lies outside its sketch's bounds")).cast("double"))
+    return r.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, exact)).alias(f"p{i}") for i in range(len(shares))])
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
