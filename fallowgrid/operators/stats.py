@@ -83,6 +83,11 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 def auc(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
     """(by.., auc, n_pos, n_neg): Mann-Whitney with average ranks; null without both classes."""
     counts = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
+    return auc_of_counts(counts, score, by)
+
+
+def auc_of_counts(counts: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """The same from (by.., score, n, p): rows and positives of every distinct score."""
     ranked = _cumulated(counts, by, score).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     s = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("n_pos"), F.sum(F.col("n") - F.col("p")).alias("n_neg"))
     return s.select(*by, F.try_divide(F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
@@ -110,9 +115,15 @@ def anova(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> Data
 
 def boyce(df: DataFrame, score: str, presence: str, bins: int = 10, width: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
     """(by.., centre, pe): predicted over expected share in moving windows over [0, 1]; windows without background go."""
+    rows = df.where(F.col(score).isNotNull()).select(*by, score, F.lit(1).cast("long").alias("n"), F.coalesce(F.col(presence).cast("long"), F.lit(0)).alias("p"))
+    return boyce_of_counts(rows, score, bins, width, by)
+
+
+def boyce_of_counts(counts: DataFrame, score: str, bins: int = 10, width: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """The same from (by.., score, n, p): rows and presences of every distinct score, or several such rows."""
     centres = [width / 2 + i * (1 - width) / (bins - 1) for i in range(bins)]
     inside = [(F.col(score) >= c - width / 2) & (F.col(score) <= c + width / 2) for c in centres]
-    row = df.where(F.col(score).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(presence).cast("long")).alias("p"), *[F.sum(x.cast("long")).alias(f"b{i}") for i, x in enumerate(inside)], *[F.sum((x & (F.col(presence) == 1)).cast("long")).alias(f"p{i}") for i, x in enumerate(inside)])
+    row = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), *[F.sum(F.when(x, F.col(k)).otherwise(0)).alias(f"{k2}{i}") for k, k2 in (("n", "b"), ("p", "p")) for i, x in enumerate(inside)])
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("centre"), F.col(f"b{i}").alias("b"), F.col(f"p{i}").alias("q")) for i, c in enumerate(centres)])).alias("x")
     return row.select(*by, "n", "p", each).where("x.b > 0").select(*by, "x.centre", F.try_divide(F.try_divide("x.q", "p"), F.col("x.b") / F.col("n")).alias("pe"))
 

@@ -33,12 +33,15 @@ def unit_correlation(cells: DataFrame, unit: str, split: str, segments: Sequence
 
 def presence(cells: DataFrame, split: str, scores: Mapping[str, tuple[str, object]], role: str, least: int = 30) -> DataFrame:
     """AUC and Boyce index of every segment (name: its score and its role's code) and half; with under `least` presences a presence_underpowered row instead."""
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("segment"), F.col(score).alias("s"), F.coalesce((F.col(role) == code).cast("int"), F.lit(0)).alias("y")) for name, (score, code) in scores.items()])).alias("x")
-    long = stored(halves(cells, split).select("half", each).select("half", "x.*").where("s IS NOT NULL"), "presence")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("segment"), F.col(score).alias("s"), F.coalesce((F.col(role) == code).cast("long"), F.lit(0)).alias("y")) for name, (score, code) in scores.items()])).alias("x")
+    # rows and presences of every distinct score, the halves side by side: they combine before the only shuffle of cells
+    wide = cells.select(F.col(split).alias("_h"), each).select("_h", "x.*").where("s IS NOT NULL").groupBy("segment", "s").agg(*[F.sum(F.when(cond, value).otherwise(0)).alias(f"{k}_{half}") for half, cond in (("full", F.lit(True)), ("calib", F.col("_h") == 0), ("val", ~F.coalesce(F.col("_h") == 0, F.lit(False)))) for k, value in (("n", F.lit(1).cast("long")), ("p", F.col("y")))])
+    halves_ = F.explode(F.array(*[F.struct(F.lit(h).alias("half"), F.col(f"n_{h}").alias("n"), F.col(f"p_{h}").alias("p")) for h in ("full", "calib", "val")])).alias("h")
+    counts = stored(wide, "presence").select("segment", "s", halves_).select("segment", "s", "h.*").where("n > 0")
     keys = ["segment", "half"]
-    a = stats.auc(long, "s", "y", keys).withColumn("n", F.col("n_pos") + F.col("n_neg"))
+    a = stats.auc_of_counts(counts, "s", keys).withColumn("n", F.col("n_pos") + F.col("n_neg"))
     enough = a.where(F.col("n_pos") >= least)
-    b = stats.boyce_index(long, "s", "y", by=keys).drop("n").join(enough.select(*keys, "n"), keys)
+    b = stats.spearman(stats.boyce_of_counts(counts, "s", by=keys), "centre", "pe", keys).select(*keys, F.col("rho").alias("boyce")).join(enough.select(*keys, "n"), keys)
     few = a.where(F.col("n_pos") < least).withColumn("none", F.lit(None).cast("double"))
     return _record(enough, "auc", "auc").unionByName(_record(b, "boyce", "boyce")).unionByName(_record(few, "presence_underpowered", "none"))
 
