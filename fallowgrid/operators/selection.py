@@ -109,6 +109,58 @@ def redundant(df: DataFrame, candidate: str, incumbents: Sequence[str], threshol
     return r.agg(F.max(F.struct("m", "b")).alias("x")).select(F.col("x.b").alias("nearest"), F.col("x.m").alias("max_abs_r"), (F.col("x.m") >= threshold).alias("redundant"))
 
 
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    m = np.eye(len(columns))
+    for x in correlations(df, columns).collect():
+        i, j = columns.index(x["a"]), columns.index(x["b"])
+        m[i, j] = m[j, i] = x["r"]
+    return m
+
+
+def components(m: np.ndarray, names: Sequence[str], keep: float = 0.9) -> int:
+    """Principal components that hold `keep` of the variance of theme-weighted standard scores with correlations m."""
+    w = np.array(zoning.theme_weights(names))
+    share = np.sort(np.linalg.eigvalsh(m * np.outer(w, w)))[::-1]
+    return int(np.searchsorted(np.cumsum(share) / share.sum(), keep - 1e-12) + 1)
+
+
+def probe_candidates(df: DataFrame, incumbents: Sequence[str], candidates: dict[str, bool], discarded: Sequence[tuple[str, str]], k: int, keep: float = 0.9, seed: int = 42) -> DataFrame:
+    """(candidate, admissible, nearest, max_abs_r, redundant, inflation, components, components_with, new_component, ari, verdict), a row per candidate axis.
+
+    Four gates in this order: whether the band may be an axis at all (`candidates` says so beforehand); whether it repeats an incumbent, by the least
+    |r| of the pairs that were `discarded` as repeats; whether it adds a principal component; and how much it moves the partition: the adjusted
+    Rand index of zones without it and with it, on the same rows.  All correlations come from one aggregation over rows without nulls, and
+    the components of every set of bands are read off its part of that matrix; only the partitions need a fit each.
+    """
+    incumbents = list(incumbents)
+    every = list(dict.fromkeys([*incumbents, *candidates, *(c for pair in discarded for c in pair)]))
+    rows = zoning.zscored(df.dropna(subset=every), every)
+    m = correlation_matrix(rows, every)
+    at = {c: i for i, c in enumerate(every)}
+    threshold = min((abs(m[at[a], at[b]]) for a, b in discarded), default=1.0)
+    own = [at[c] for c in incumbents]
+    before = components(m[np.ix_(own, own)], incumbents, keep)
+
+    def weighted(names: Sequence[str], tag: str) -> tuple[DataFrame, list[str]]:
+        w = zoning.theme_weights(names)
+        return rows.withColumns({f"_{tag}{i}": F.col(c) * x for i, (c, x) in enumerate(zip(names, w, strict=True))}), [f"_{tag}{i}" for i in range(len(names))]
+
+    base, columns = weighted(incumbents, "p")
+    model, out = _fit(base, columns, k, seed), []
+    for c, admissible in candidates.items():
+        r = np.abs(m[at[c], own])
+        sub = [*own, at[c]]
+        after = components(m[np.ix_(sub, sub)], [*incumbents, c], keep)
+        vif = float(np.linalg.pinv(m[np.ix_(sub, sub)])[-1, -1])
+        more, wide = weighted([*incumbents, c], "q")
+        both = _zones(_fit(more, wide, k, seed), more, wide, "_with").withColumns({x: F.col(b) * w for x, b, w in zip(columns, incumbents, zoning.theme_weights(incumbents), strict=True)})
+        ari = stats.adjusted_rand(_zones(model, both, columns, "_without"), "_without", "_with").first()["ari"]
+        redundant = bool(r.max() >= threshold)
+        verdict = "not admissible" if not admissible else "redundant" if redundant else "no new component" if after <= before else "moves the partition" if ari < 1 else "no effect"
+        out.append((c, bool(admissible), incumbents[int(r.argmax())], float(r.max()), redundant, vif, before, after, after > before, None if ari is None else float(ari), verdict))
+    return df.sparkSession.createDataFrame(out, "candidate string, admissible boolean, nearest string, max_abs_r double, redundant boolean, inflation double, components int, components_with int, new_component boolean, ari double, verdict string")
+
+
 def forest_kappa(df: DataFrame, features: Sequence[str], presence: str, given: str, train: str, trees: int = 100, cut: float = 0.5, seed: int = 42) -> DataFrame:
     """(kappa, n): a forest's classes (trained on rows where `train` is true, probability at least `cut`) against the given 0/1 class, on the other rows."""
     v = _vectors(df.withColumn("_y", F.col(presence).cast("double")), features)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import projections
 from ..functions.membership import quantize
-from ..operators import blocks, overlay, proximity, suites, tiles, zoning
+from ..operators import blocks, overlay, proximity, selection, suites, tiles, zoning
 from ..sources import tile_archive
 from ..sources.tables import shared_dir, table
 from .analytics import _C as _CENTRES
@@ -196,7 +196,15 @@ g AS (SELECT segment, half, len(list_filter(list_distinct(e), lambda v: v > lo A
 m AS (SELECT segment, half, bool_and(d >= 0) AS monotonic FROM (SELECT *, m - lag(m) OVER (PARTITION BY segment, half ORDER BY bin) AS d FROM g) GROUP BY 1, 2)
 SELECT 'within_crop_rho' AS metric, segment, half, round(rho, 6) AS value, n, round({RHO_P}, 5) AS p, monotonic FROM q JOIN m USING (segment, half) WHERE n >= 50"""
 
+def candidate_axes(spark, d):
+    """Which further bands may be axes of the zoning: gates by correlation, components and partition; fitted, so there is no SQL."""
+    e = zoning.embedding_columns(8)
+    x = table(spark, d, "embeddings").select(*[c.alias(f"{'ab'[i % 2]}_{i}") for i, c in enumerate(e)], (e[0] + 0.05 * e[7]).alias("c_copy"), (e[1] + 0.3 * e[6]).alias("c_near"), F.col("label").cast("double").alias("c_label"))
+    return selection.probe_candidates(x, [f"{'ab'[i % 2]}_{i}" for i in range(6)], {"c_copy": True, "c_label": False, "a_6": True, "b_7": True}, [("c_near", "b_1")], 4)
+
+
 QUERIES = {
+    "candidate_axes": (candidate_axes, None),
     "block_sizing": (block_sizing, BLOCKS_SQL),
     "crop_gradients": (crop_gradients, GRADIENTS_SQL),
     "tile_levels": (tile_levels, TILES_SQL),

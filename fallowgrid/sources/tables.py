@@ -109,16 +109,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that `stored` wrote in this process and nobody dropped yet.
+_OWNED: list[str] = []
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: all that is derived from it sees the same rows."""
+    """`df` written once to the shared folder and read back: all that is derived from it sees the same rows.
+
+    It stays until `dropped`, or until `release` at the end of the work that derives from it.
+    """
     path = f"{shared_dir(df.sparkSession)}/fallowgrid/{tag}-{uuid.uuid4().hex}"
+    _OWNED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that `stored` wrote in this process, once no result that derives from it is wanted any more; how many folders went."""
+    n = len(_OWNED)
+    while _OWNED:
+        _delete(spark, _OWNED.pop())
+    return n
+
+
 def dropped(df: DataFrame) -> None:
     """Delete what `stored` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _OWNED[:] = [p for p in _OWNED if p.rpartition("/")[2] != folder.rpartition("/")[2]]
+        _delete(df.sparkSession, folder)

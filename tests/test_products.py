@@ -65,3 +65,15 @@ def test_registration_is_checked(spark, tmp_path):
             r.add(name, needs)(lambda *a: a[0])
     with pytest.raises(FileNotFoundError):
         r.read("joined")
+
+
+def test_stored_tables_are_released(spark):
+    from fallowgrid.sources import tables
+
+    tables.release(spark)
+    a, b = tables.stored(spark.range(3), "a"), tables.stored(spark.range(4), "b")
+    assert a.count() + b.count() == 7
+    tables.dropped(a)
+    assert tables.release(spark) == 1 and tables.release(spark) == 0
+    with pytest.raises(Exception, match=r"PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        b.count()
