@@ -75,8 +75,8 @@ def aggregate(name: str, memberships: Sequence[Column], weights: Sequence[float]
 
 
 def suitability_class(s: Column) -> Column:
-    """0 (below 0.25) to 3 (0.75 and over)."""
-    return F.when(s.isNotNull(), reduce(lambda a, b: a + b, [(s >= F.lit(c)).cast("int") for c in CLASS_BREAKS]))
+    """0 (below 0.25) to 3 (0.75 and over), null for null; s stands in no condition, so it is worked out once for all breaks."""
+    return reduce(lambda a, b: a + b, [(s >= F.lit(c)).cast("int") for c in CLASS_BREAKS])
 
 
 def argmax_index(columns: Sequence[Column]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,9 +64,10 @@ def agreement(models: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:
 
 def transition(df: DataFrame, before: str, after: str, classes: int = 4) -> DataFrame:
     """(before, after, share_pct) for all class pairs, absent ones 0."""
-    spark = df.sparkSession
-    spine = spark.range(classes * classes).select((F.col("id") / classes).cast("int").alias("before"), (F.col("id") % classes).cast("int").alias("after"))
-    n = df.where(F.col(before).isNotNull() & F.col(after).isNotNull()).groupBy(F.col(before).cast("int").alias("before"), F.col(after).cast("int").alias("after")).agg(F.count("*").alias("n"))
+    spine = df.sparkSession.range(classes * classes).select((F.col("id") / classes).cast("int").alias("before"), (F.col("id") % classes).cast("int").alias("after"))
+    # nulls count as a class of their own that the spine lacks: a filter on them would work the classes out once more for every row
+    known = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(-1))
+    n = df.groupBy(known(before).alias("before"), known(after).alias("after")).agg(F.count("*").alias("n"))
     joined = spine.join(n, ["before", "after"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = joined.agg(F.sum("n").alias("t"))
-    return joined.crossJoin(F.broadcast(total)).select("before", "after", (100.0 * F.try_divide("n", "t")).alias("share_pct"))
+    # one row per class pair
+    return joined.select("before", "after", (100.0 * F.try_divide("n", F.sum("n").over(Window.partitionBy()))).alias("share_pct"))

@@ -108,8 +108,8 @@ def quantized_band(spark, d):
 
 
 def class_transition(spark, d):
-    x = _items(spark, d).select(suitability_class(suitability(CROPS[0])).alias("p"), suitability_class(suitability(CROPS[1])).alias("f"))
-    return climate.transition(x, "p", "f").withColumn("share_pct", F.round("share_pct", 6))
+    x = with_segments(_items(spark, d), CROPS[:2], [])
+    return climate.transition(x, "class_alpha", "class_beta").withColumn("share_pct", F.round("share_pct", 6))
 
 
 def downgrade_share(spark, d):
