@@ -2,8 +2,7 @@
 
 Point pairs come from neighbouring cells of latitude bands: a band is as high as the longest lag, and its cells are as wide as that
 lag is in longitude at the band's farther edge from the equator, so cells widen towards the poles and no pair is missed (nor across the
-180th meridian).  All fields and windows are tallied in one aggregation of the pairs; pairs grow with the square of the points within a lag of each
-other, so the number of points is a required bound, drawn once for all fields.
+180th meridian).  Semivariograms tally all pairs of all fields and windows block by block instead, over all points unless a bound is given.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import pair_tallies
 from .sampling import uniform_sample
 
 #: Mean radius of the Earth, kilometres a degree of the nominal block edge.
@@ -63,15 +63,31 @@ def close_pairs(points: DataFrame, longest_km: float, keep: Sequence[str]) -> Da
     return j.select(distance_km(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat")).alias("distance"), *[f"{s}_{c}" for s in "ab" for c in keep]).where(F.col("distance") <= longest_km)
 
 
-def semivariograms(points: DataFrame, fields: Sequence[str], windows: Sequence[float], most_points: int, bins: int = 40, seed: int = 42) -> DataFrame:
-    """(field, window, bin, centre, gamma, n): bins are open at their nearer end, empty ones have a null gamma."""
-    own = uniform_sample(points.dropna(subset=["lon", "lat"]), "id", most_points, seed)
-    pairs = close_pairs(own, max(windows), fields)
-    each = F.array(*[F.when((F.col("distance") > 0) & (F.col("distance") <= w), F.struct(F.lit(float(w)).alias("window"), (F.ceil(F.col("distance") / (w / bins)) - 1).cast("int").alias("bin"))) for w in windows])
-    tall = pairs.withColumn("_x", F.explode(F.filter(each, lambda x: x.isNotNull())))
-    gap = lambda f: F.pow(F.col(f"a_{f}") - F.col(f"b_{f}"), F.lit(2.0))
-    t = tall.groupBy("_x.window", "_x.bin").agg(*[F.sum(gap(f)).alias(f"s_{f}") for f in fields], *[F.count(gap(f)).alias(f"n_{f}") for f in fields])
-    t = t.select("window", "bin", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"s_{f}").alias("s"), F.col(f"n_{f}").alias("n")) for f in fields])).alias("x")).select("window", "bin", "x.*")
+def semivariograms(points: DataFrame, fields: Sequence[str], windows: Sequence[float], most_points: int | None, bins: int = 40, seed: int = 42) -> DataFrame:
+    """(field, window, bin, centre, gamma, n): bins are open at their nearer end, empty ones have a null gamma.
+
+    Of all points, or a sample of `most_points` drawn once for all fields.  Points meet in blocks by their places on a unit sphere (see `pairs`).
+    """
+    own = points.dropna(subset=["lon", "lat"])
+    own = own if most_points is None else uniform_sample(own, "id", most_points, seed)
+    total = len(windows) * bins
+
+    def numbered(square: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        distance = 2 * RADIUS_KM * np.arcsin(np.minimum(np.sqrt(square) / 2, 1.0))
+        out = []
+        for i, w in enumerate(windows):
+            number = np.ceil(np.minimum(distance, 2 * w) / (w / bins)).astype(np.intp) + (i * bins - 1)
+            number[(distance <= 0) | (distance > w)] = total
+            out.append(number)
+        return distance, out
+
+    lon, lat = F.radians("lon"), F.radians("lat")
+    sphere = own.select("id", *fields, (F.cos(lat) * F.cos(lon)).alias("_x"), (F.cos(lat) * F.sin(lon)).alias("_y"), F.sin(lat).alias("_z"))
+    chord = 2 * math.sin(min(max(windows) / RADIUS_KM / 2, math.pi / 2)) * (1 + 1e-9)
+    t = pair_tallies(sphere, ["_x", "_y", "_z"], fields, chord, total, numbered)
+    window = F.element_at(F.array(*[F.lit(float(w)) for w in windows]), F.floor(F.col("bin") / bins).cast("int") + 1)
+    tall = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"s_{f}").alias("s"), F.col(f"n_{f}").alias("n")) for f in fields])).alias("x")
+    t = t.select(window.alias("window"), F.pmod("bin", F.lit(bins)).alias("bin"), tall).select("window", "bin", "x.*")
     every = points.sparkSession.createDataFrame([(f, float(w), i, (i + 0.5) * w / bins) for f in fields for w in windows for i in range(bins)], "field string, window double, bin int, centre double")
     return every.join(F.broadcast(t), ["field", "window", "bin"], "left").select("field", "window", "bin", "centre", F.try_divide("s", 2 * F.col("n")).alias("gamma"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -110,7 +126,7 @@ def verdict(framing: Column, range_km: Column, nugget_share: Column, block: floa
     )
 
 
-def block_sizing(points: DataFrame, crops: Mapping[str, tuple[str, str]], sides: int, most_points: int, windows: Sequence[float] = (400.0, 800.0), bins: int = 40, seed: int = 42, regress: bool = False) -> tuple[DataFrame, str]:
+def block_sizing(points: DataFrame, crops: Mapping[str, tuple[str, str]], sides: int, most_points: int | None, windows: Sequence[float] = (400.0, 800.0), bins: int = 40, seed: int = 42, regress: bool = False) -> tuple[DataFrame, str]:
     """Rows (crop, framing, window, block, sill, nugget_share, range, shared, verdict), and the gate's word.
 
     `crops` names each crop's fitted score and its 0/1 presence.  Framings: `fit` the score, `presence`, and `residual`, presence less score
