@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 
 #: Points of a block, and distances worked out at once.
-BLOCK, STRIP = 4096, 1 << 16
+BLOCK, STRIP = 4096, 1 << 14
 
 
 def _block(points: pa.Scalar, at: int, fields: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray | None]]:

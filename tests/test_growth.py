@@ -76,3 +76,18 @@ def test_block_sizing_reads_every_point(spark):
     for row in blocks.semivariograms(df, ["f"], (50.0, 100.0), None, 5).collect():
         m = upper & (d > row.bin * row.window / 5) & (d <= (row.bin + 1) * row.window / 5)
         assert row.n == m.sum() and row.gamma == pytest.approx(gap[m].mean() / 2) and row.centre == pytest.approx((row.bin + 0.5) * row.window / 5)
+
+
+def test_rows_of_a_group_do_not_meet_in_one_task(spark, monkeypatch):
+    df, plans, keep = spark.range(60_000).select((F.col("id") % 3).alias("g"), F.rand(3).alias("v")), {}, stats.stored
+    executed = lambda d: d._jdf.queryExecution().executedPlan().toString()
+
+    def watched(d, tag):
+        plans.setdefault(tag, executed(d))
+        return keep(d, tag)
+
+    monkeypatch.setattr(stats, "stored", watched)
+    binned = stats.grouped_bins(df, "v", 4, ["g"])
+    for plan in (plans["ranges"], executed(binned)):
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {(r.g, r.bin) for r in binned.select("g", "bin").distinct().collect()} == {(g, b) for g in range(3) for b in range(4)}
