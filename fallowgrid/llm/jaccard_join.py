@@ -218,8 +218,8 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _classes(documents: DataFrame, threshold: float, recall: float, words: int, depth: int, leaf: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(one row per document: doc_id, th, sa, sb, n_grams; one row per set: its class's first document, its links and copies)."""
+def _classes(documents: DataFrame, threshold: float, recall: float, words: int, depth: int, leaf: int, block: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(one row per document: doc_id, th, sa, sb, n_grams; one row per set: its class's first document, its links and copies; the stored tables these read)."""
     spark = documents.sparkSession
     runs = runs_needed(threshold, recall, depth)
     docs = documents.select("doc_id", "text", _text_key().alias("th"))
@@ -233,10 +233,10 @@ def _classes(documents: DataFrame, threshold: float, recall: float, words: int,
     reps = stored(reps.select("*", F.monotonically_increasing_id().alias("id"), F.aggregate(low, F.lit(b""), lambda a, x: F.concat(a, x)).alias("sketch")), "reps")
     edges = _candidates(reps, runs, depth, leaf)
     proposals = components(edges)
-    members = stored(proposals.join(reps.select("id", "first", "n_copies"), "id"), "members")
+    grouped_sets = stored(proposals.join(reps.select("id", "first", "n_copies"), "id"), "members")
     drop_stored(edges)
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).alias("m")
+    sizes = grouped_sets.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    members = grouped_sets.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).alias("m")
     texts = docs.alias("t")
     repeated = full.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():  # equal rows: one of them is enough
@@ -256,7 +256,9 @@ def _classes(documents: DataFrame, threshold: float, recall: float, words: int,
     linked = reps.select("sa", "sb", F.col("n_grams").alias("n"), "id", "first", "n_copies").join(whole, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     heads = linked.where("links > 0").groupBy("class_id").agg(F.min("first").alias("head"))
     linked = linked.join(heads, "class_id", "left")
-    return sketches, linked.select("sa", "sb", "n", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), "n_copies")
+    drop_stored(grouped_sets)
+    classes = linked.select("sa", "sb", "n", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), "n_copies")
+    return sketches, classes, [sketches, reps, joined]
 
 
 def _with_class(sketches: DataFrame, classes: DataFrame) -> DataFrame:
@@ -266,20 +268,22 @@ def _with_class(sketches: DataFrame, classes: DataFrame) -> DataFrame:
 
 def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """See the module's docstring."""
-    rows = _with_class(*_classes(documents, threshold, recall, words, depth, leaf, block))
+    rows = _with_class(*_classes(documents, threshold, recall, words, depth, leaf, block)[:2])
     class_id = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
     return rows.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.col("n_grams"))
 
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """The first document of each class (by id, rows without one last), with all its columns; of equal rows one stays."""
-    sketches, classes = _classes(documents, threshold, recall, words, depth, leaf, block)
+    sketches, classes, used = _classes(documents, threshold, recall, words, depth, leaf, block)
     rows = _with_class(sketches, classes)
     later = F.col("head").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th")))
     gone = stored(rows.where(later).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "gone")
     keyed = documents.withColumn("__th", _text_key())
     kept = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["gone_id"]) & (keyed["__th"] == gone["gone_th"]), "left_anti")
     repeated = stored(sketches.where("n_grams > 0").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")), "repeated")
+    for x in used:
+        drop_stored(x)
     if not repeated.isEmpty():
         same = kept["doc_id"].eqNullSafe(repeated["gone_id"]) & (kept["__th"] == repeated["gone_th"])
         kept = kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__th"]))

@@ -1,11 +1,17 @@
-"""What the turns of the substring dedup hold at once."""
+"""What the turns of the substring dedup hold at once, and what it and the Jaccard join leave behind."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
-from fallowgrid.llm import substring_dedup
+from fallowgrid.llm import jaccard_join, substring_dedup
+from fallowgrid.llm.common import shared_dir
+
+
+def _left(spark, tag):
+    return set(Path(shared_dir(spark).removeprefix("file://"), "fallowgrid").glob(f"{tag}-*"))
 
 
 def _junk(spark):
@@ -61,3 +67,12 @@ def test_lone_blocks_are_judged_as_one_by_one():
             got = substring_dedup._likely(words, off, other, low, high, x, y, reach, 40, least)
             want = [substring_dedup.promising(words[off[i] : off[i + 1]], other[low[i] : high[i]], int(x[i]), int(y[i]), 40, least, int(reach[i])) for i in range(n)]
             assert got.tolist() == want
+
+
+def test_tables_that_nothing_reads_any_more_are_dropped(spark):
+    docs = _junk(spark)
+    tags = ("matched", "second", "left", "met", "pairs", "sketches", "reps", "members", "joined")
+    before = {t: _left(spark, t) for t in tags}
+    assert jaccard_join.keep_one(docs).count() == 24
+    substring_dedup.find_passages(docs).collect()
+    assert {t: _left(spark, t) - before[t] for t in tags} == dict.fromkeys(tags, set())
